@@ -9,8 +9,9 @@ confirmed on the full shingle sets.
 No group is ever expanded into all its pairs. Equal sets become one class. A bucket links
 its members to its smallest one; members that this leaves in other components are compared
 with one more member per bucket, and only what is then still apart is compared with the
-members of other components. So every pair that shares a band is either confirmed, refuted
-or already inside one component.
+members of other components, as far as their sizes and 256-bit parities do not rule the
+similarity out. So every pair that shares a band is either confirmed, refuted or already
+inside one component.
 """
 
 from __future__ import annotations
@@ -97,12 +98,24 @@ def signatures(docs: DataFrame, k: int = K) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fa long, fb long, n long, keys array<long>")
 
 
+PARITY = ("p0", "p1", "p2", "p3")
+
+
+def parity(s: np.ndarray) -> np.ndarray:
+    """256 bits, each telling whether an odd number of the set's hashes fall on it. Two sets
+    differ in at least as many elements as their parities differ in bits."""
+    odd = np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
 def _set_rows(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _parts(batches):
-            yield pa.record_batch([b.column("doc_id"), pa.array([s.tobytes() for s in _sets(b, k)], pa.binary())], names=["id", "s"])
+            sets = list(_sets(b, k))
+            marks = np.stack([parity(s) for s in sets]).view(np.int64)
+            yield pa.record_batch([b.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary()), *(pa.array(m) for m in marks.T)], names=["id", "s", *PARITY])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "id long, s binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "id long, s binary, " + ", ".join(f"{m} long" for m in PARITY))
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -168,8 +181,14 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, k: int = K)
             break
         rest = materialize(here.join(apart, "key").where("comp <> top"), "rest")
         if last:
-            right = here.selectExpr("key", "id as b", "n as bn", "comp as bcomp")
-            found = rest.join(right, "key").where((F.col("comp") != F.col("bcomp")) & fits(F.col("n"), F.col("bn")))
+            marks = sets.select("id", *PARITY).dropDuplicates(["id"])
+            some = here.join(apart.select("key"), "key", "left_semi")
+            right = materialize(some.join(marks, "id"), "right").selectExpr("key", "id as b", "n as bn", "comp as bcomp", *(f"{m} as b{m}" for m in PARITY))
+            left = materialize(rest.select("key", "id", "n", "comp").join(marks, "id"), "left")
+            differ = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"b{m}"))) for m in PARITY), F.lit(0))
+            # of n + bn elements at most (den - num) / (den + num) may be in one set only
+            close = differ * (den + num) <= (F.col("n") + F.col("bn")) * (den - num)
+            found = left.join(right, "key").where((F.col("comp") != F.col("bcomp")) & fits(F.col("n"), F.col("bn")) & close)
             found = found.selectExpr("greatest(id, b) as a", "least(id, b) as b")
         else:
             found = rest.where(fits(F.col("n"), F.col("other_n"))).selectExpr("id as a", "other as b")
