@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 U = np.uint64
 _BASE = 0x9E6C63D0876A9A47 | 1
 _STEP = 0xD6E8FEB86659FD93 | 1
