@@ -9,8 +9,8 @@ confirmed on the full shingle sets.
 No group is ever expanded into all its pairs. Equal sets become one class. A bucket links
 its members to its smallest one; members that this leaves in other components are compared
 with one more member per bucket, and only what is then still apart is compared with the
-members of other components, as far as their sizes and 256-bit parities do not rule the
-similarity out. So every pair that shares a band is either confirmed, refuted or already
+members of other components. Pairs whose sizes or 1024-bit parities rule the similarity out
+are dropped before their sets are fetched. So every pair that shares a band is either confirmed, refuted or already
 inside one component.
 """
 
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
@@ -98,24 +98,76 @@ def signatures(docs: DataFrame, k: int = K) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fa long, fb long, n long, keys array<long>")
 
 
-PARITY = ("p0", "p1", "p2", "p3")
+PARITY = tuple(f"p{i}" for i in range(16))
+#: Most bits of the filter that tells which documents' sets are wanted: 16 MB.
+FILTER_BITS = 1 << 27
 
 
 def parity(s: np.ndarray) -> np.ndarray:
-    """256 bits, each telling whether an odd number of the set's hashes fall on it. Two sets
+    """1024 bits, each telling whether an odd number of the set's hashes fall on it. Two sets
     differ in at least as many elements as their parities differ in bits."""
-    odd = np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    odd = np.bincount((s & np.uint64(1023)).astype(np.int64), minlength=1024) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
-def _set_rows(docs: DataFrame, k: int) -> DataFrame:
+def _bits(ids: np.ndarray, size: int) -> np.ndarray:
+    return (tk.mix(ids.view(np.uint64)) & np.uint64(size - 1)).astype(np.int64)
+
+
+def id_filter(ids: DataFrame, column: str) -> np.ndarray:
+    """A bit set of bounded size in which the bit of every id is set; it is 16 times as large
+    as the ids are many, up to ``FILTER_BITS``. Beyond, it only lets more others through."""
+    n = ids.count()
+    size = 1 << 16
+    while size < min(16 * n, FILTER_BITS):
+        size *= 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(size // 64, np.uint64)
+        for b in batches:
+            at = _bits(b.column(0).to_numpy(), size)
+            np.bitwise_or.at(own, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+        words = np.flatnonzero(own)
+        yield pa.record_batch([pa.array(words), pa.array(own[words].view(np.int64))], names=["word", "bits"])
+
+    rows = ids.select(column).mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(size // 64, np.uint64)
+    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def _set_rows(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """``(id, n, s, p0, ...)``: sets of all wanted ids and of few others. The texts stay where
+    they are read; only the filter goes to them."""
+    shared = docs.sparkSession.sparkContext.broadcast(id_filter(wanted, "doc_id"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
         for b in _parts(batches):
+            at = _bits(b.column("doc_id").to_numpy(), 64 * len(known))
+            b = b.filter(pa.array((known[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1))
+            if not b.num_rows:
+                continue
             sets = list(_sets(b, k))
             marks = np.stack([parity(s) for s in sets]).view(np.int64)
-            yield pa.record_batch([b.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary()), *(pa.array(m) for m in marks.T)], names=["id", "s", *PARITY])
+            yield pa.record_batch([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), *(pa.array(m) for m in marks.T)], names=["id", "n", "s", *PARITY])
+
+    fields = "id long, n long, s binary, " + ", ".join(f"{m} long" for m in PARITY)
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, fields)
+
+
+def _close(num: int, den: int, a: str, b: str) -> Column:
+    """Whether two sets' sizes ``an`` and ``bn`` and parities leave the similarity possible:
+    of an + bn elements at most (den - num) / (den + num) may be in one set only."""
+    differ = sum((F.bit_count(F.col(f"{a}{m}").bitwiseXOR(F.col(f"{b}{m}"))) for m in PARITY), F.lit(0))
+    x, y = F.col(f"{a}n"), F.col(f"{b}n")
+    return (F.least(x, y) * den >= F.greatest(x, y) * num) & (differ * (den + num) <= (x + y) * (den - num))
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "id long, s binary, " + ", ".join(f"{m} long" for m in PARITY))
+def _possible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs ``(a, b)`` that sizes and parities do not rule out."""
+    side = lambda c: sets.select(F.col("id").alias(c), F.col("n").alias(f"{c}n"), *(F.col(m).alias(f"{c}{m}") for m in PARITY))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(_close(num, den, "a", "b")).select("a", "b").distinct()
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -168,8 +220,8 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, k: int = K)
     fits = lambda x, y: F.least(x, y) * den >= F.greatest(x, y) * num
     pairs = members.where((F.col("id") != F.col("hub")) & fits(F.col("n"), F.col("hub_n"))).selectExpr("id as a", "hub as b").distinct()
     wanted = members.select(F.col("id").alias("doc_id")).distinct()
-    sets = materialize(_set_rows(docs.join(wanted, "doc_id", "left_semi"), k), "sets")
-    links = materialize(_confirm(pairs, sets, num, den), "links")
+    sets = materialize(_set_rows(docs, wanted, k), "sets")
+    links = materialize(_confirm(_possible(pairs, sets, num, den), sets, num, den), "links")
     labels = connected_components(links)
     for last in (False, True):
         here = members.select("key", "id", "n").join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
@@ -185,14 +237,11 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, k: int = K)
             some = here.join(apart.select("key"), "key", "left_semi")
             right = materialize(some.join(marks, "id"), "right").selectExpr("key", "id as b", "n as bn", "comp as bcomp", *(f"{m} as b{m}" for m in PARITY))
             left = materialize(rest.select("key", "id", "n", "comp").join(marks, "id"), "left")
-            differ = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"b{m}"))) for m in PARITY), F.lit(0))
-            # of n + bn elements at most (den - num) / (den + num) may be in one set only
-            close = differ * (den + num) <= (F.col("n") + F.col("bn")) * (den - num)
-            found = left.join(right, "key").where((F.col("comp") != F.col("bcomp")) & fits(F.col("n"), F.col("bn")) & close)
-            found = found.selectExpr("greatest(id, b) as a", "least(id, b) as b")
+            rows = left.select("key", "comp", F.col("id").alias("a"), F.col("n").alias("an"), *(F.col(m).alias(f"a{m}") for m in PARITY)).join(right, "key")
+            found = rows.where((F.col("comp") != F.col("bcomp")) & _close(num, den, "a", "b")).selectExpr("greatest(a, b) as a", "least(a, b) as b").distinct()
         else:
-            found = rest.where(fits(F.col("n"), F.col("other_n"))).selectExpr("id as a", "other as b")
-        fresh = materialize(_confirm(found.distinct(), sets, num, den), "links")
+            found = _possible(rest.where(fits(F.col("n"), F.col("other_n"))).selectExpr("id as a", "other as b").distinct(), sets, num, den)
+        fresh = materialize(_confirm(found, sets, num, den), "links")
         if fresh.isEmpty():
             continue
         up = lambda c: labels.selectExpr(f"id as {c}", f"comp as {c}c")
