@@ -165,9 +165,15 @@ def _close(num: int, den: int, a: str, b: str) -> Column:
 
 
 def _possible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs ``(a, b)`` that sizes and parities do not rule out."""
+    """The pairs ``(a, b)`` that sizes and parities do not rule out.
+
+    Pairs are written before and after, so that no aggregation shares an exchange with the
+    joins and adaptive execution can split a hub with very many pairs.
+    """
+    pairs = materialize(pairs.distinct(), "pairs")
     side = lambda c: sets.select(F.col("id").alias(c), F.col("n").alias(f"{c}n"), *(F.col(m).alias(f"{c}{m}") for m in PARITY))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(_close(num, den, "a", "b")).select("a", "b").distinct()
+    found = pairs.join(side("a"), "a").join(side("b"), "b").where(_close(num, den, "a", "b")).select("a", "b")
+    return materialize(found, "possible")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -218,7 +224,7 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, k: int = K)
     hubs = materialize(hubs.selectExpr("key", "h.id as hub", "h.n as hub_n"), "hubs")
     members = materialize(rows.join(hubs, "key"), "members")
     fits = lambda x, y: F.least(x, y) * den >= F.greatest(x, y) * num
-    pairs = members.where((F.col("id") != F.col("hub")) & fits(F.col("n"), F.col("hub_n"))).selectExpr("id as a", "hub as b").distinct()
+    pairs = members.where((F.col("id") != F.col("hub")) & fits(F.col("n"), F.col("hub_n"))).selectExpr("id as a", "hub as b")
     wanted = members.select(F.col("id").alias("doc_id")).distinct()
     sets = materialize(_set_rows(docs, wanted, k), "sets")
     links = materialize(_confirm(_possible(pairs, sets, num, den), sets, num, den), "links")
@@ -238,9 +244,10 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, k: int = K)
             right = materialize(some.join(marks, "id"), "right").selectExpr("key", "id as b", "n as bn", "comp as bcomp", *(f"{m} as b{m}" for m in PARITY))
             left = materialize(rest.select("key", "id", "n", "comp").join(marks, "id"), "left")
             rows = left.select("key", "comp", F.col("id").alias("a"), F.col("n").alias("an"), *(F.col(m).alias(f"a{m}") for m in PARITY)).join(right, "key")
-            found = rows.where((F.col("comp") != F.col("bcomp")) & _close(num, den, "a", "b")).selectExpr("greatest(a, b) as a", "least(a, b) as b").distinct()
+            found = rows.where((F.col("comp") != F.col("bcomp")) & _close(num, den, "a", "b")).selectExpr("greatest(a, b) as a", "least(a, b) as b")
+            found = materialize(found.distinct(), "found")
         else:
-            found = _possible(rest.where(fits(F.col("n"), F.col("other_n"))).selectExpr("id as a", "other as b").distinct(), sets, num, den)
+            found = _possible(rest.where(fits(F.col("n"), F.col("other_n"))).selectExpr("id as a", "other as b"), sets, num, den)
         fresh = materialize(_confirm(found, sets, num, den), "links")
         if fresh.isEmpty():
             continue
