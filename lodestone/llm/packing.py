@@ -33,6 +33,8 @@ def karmarkar_karp(sizes: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
     ties go to the earlier item, so the result is a function of the sizes.
     """
     n = len(sizes)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     heap = [(-int(s), i, [(int(s), i)]) for i, s in enumerate(sizes)]
     heapq.heapify(heap)
     parent = list(range(n))  # windows as trees of items: an item is in its root's window
