@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions.text import strip
 from ..operators import evidence, expand, index, intent, rank, retrieve, walk
 from ..operators.graph import Graph
-from ..sources.store import materialize
+from ..sources.store import load_required, materialize, path_exists
 
 
 @dataclass
@@ -31,12 +32,18 @@ def build_index(docs: DataFrame, chunks: DataFrame, vectors: DataFrame | None =
 
 @dataclass
 class Engine:
-    """Answers batches of ``questions(qid, text)``; ``vec`` may hold their vectors."""
+    """Answers batches of ``questions(qid, text)``; ``vectors(qid, vec, norm)`` may hold theirs.
+
+    ``classify``, ``score`` and ``answer`` are deterministic by default; those of
+    ``operators.models`` ask a model."""
 
     index: Index
     graph: Graph
     prior: DataFrame
     config: Config = field(default_factory=Config)
+    classify: Callable[..., DataFrame] = intent.heuristic_intent
+    score: Callable[..., DataFrame] = rank.semantic_scores
+    answer: Callable[[DataFrame], DataFrame] | None = None  # of prompts; None: the best proposition
 
     def hybrid(self, questions: DataFrame, k: int, vectors: DataFrame | None = None) -> DataFrame:
         """``(qid, doc_id, score, rk)``: both lists fused and cut to k."""
@@ -63,15 +70,16 @@ class Engine:
     def select(self, questions: DataFrame, vectors: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Questions with intent and status, final propositions, and selected evidence."""
         r, e = self.config.ranking, self.config.evidence
-        asked = materialize(intent.heuristic_intent(questions.select("qid", strip("text").alias("text"))), "asked")
-        live = asked.where("text <> ''")
+        said = materialize(questions.select("qid", strip(F.coalesce("text", F.lit(""))).alias("text")), "said")
+        live = materialize(self.classify(said.where("text <> ''")), "asked")
+        asked = said.join(live.select("qid", "topology", "semantic"), "qid", "left")
         seeds = walk.seed_chunks(self.coarse(live, vectors), self.index.chunks, self.graph.texts("chunk"))
         seeds = materialize(seeds, "seeds")
         edges, nodes = self.graph.edges, self.graph.nodes
         first = materialize(walk.chunks_to_propositions(seeds, edges), "first")
         ents = materialize(walk.propositions_to_entities(first, edges), "ents")
         reached = materialize(walk.entities_to_propositions(ents, edges, first), "reached")
-        sem = materialize(rank.semantic_scores(reached, live, self.graph.texts("proposition"), r.score_text_chars), "sem")
+        sem = materialize(self.score(reached, live, self.graph.texts("proposition"), r.score_text_chars), "sem")
         scored = materialize(rank.proposition_scores(reached, sem, self.prior, r.beta_struct, r.gamma_sem), "scored")
         anchored = materialize(rank.anchors(scored, r.top_anchor_p, r.k_prop), "anchors")
         lineage = materialize(expand.allowed_entities(expand.candidates(anchored, edges), live, edges), "lineage")
@@ -93,6 +101,28 @@ class Engine:
         question. What stops a question (a blank text, no seed chunk, no proposition) is its
         status and stops no other."""
         asked, _, chosen = self.select(questions, vectors)
-        ok = asked.where("status = 'ok'")
-        out = asked.join(evidence.extractive_answers(chosen), "qid", "left").join(evidence.prompts(ok, chosen), "qid", "left").join(evidence.metadata(chosen), "qid", "left")
+        prompts = evidence.prompts(asked.where("status = 'ok'"), chosen)
+        if self.answer:
+            prompts = materialize(prompts, "prompts")
+            answers = self.answer(prompts)
+        else:
+            answers = evidence.extractive_answers(chosen)
+        out = asked.join(answers, "qid", "left").join(prompts, "qid", "left").join(evidence.metadata(chosen), "qid", "left")
         return out.select("qid", "topology", "semantic", "status", "answer", "prompt", *(F.coalesce(f"n_{k}", F.lit(0)).alias(f"n_{k}") for k in ("proposition", "entity", "chunk", "type")))
+
+    def save(self, path: str) -> None:
+        """Every table under ``path``: postings clustered by term and edges by type, so that
+        a later filter on these skips files and row groups."""
+        tables = {"chunks": self.index.chunks, "nodes": self.graph.nodes, "prior": self.prior, "dense": self.index.dense}
+        for name, df in tables.items():
+            if df is not None:
+                df.write.mode("overwrite").parquet(f"{path}/{name}")
+        self.index.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+        self.graph.edges.repartition("edge_type", F.pmod(F.xxhash64("src"), F.lit(32))).write.mode("overwrite").partitionBy("edge_type").parquet(f"{path}/edges")
+
+
+def load_engine(spark: SparkSession, path: str, config: Config | None = None) -> Engine:
+    """An engine that was saved; a table that is missing is an error."""
+    need = lambda name: load_required(spark, f"{path}/{name}")
+    dense = need("dense") if path_exists(spark, f"{path}/dense/_SUCCESS") else None
+    return Engine(Index(need("chunks"), need("postings"), dense), Graph(need("nodes"), need("edges")), need("prior"), config or Config())

@@ -49,17 +49,17 @@ class GraphTables:
         return graph.Graph(materialize(self.nodes, "nodes"), materialize(self.edges, "edges"))
 
 
-def graph_tables(chunks: DataFrame, cache: DataFrame | None = None, config: GraphConfig | None = None, keep: bool = False) -> GraphTables:
+def graph_tables(chunks: DataFrame, cache: DataFrame | None = None, config: GraphConfig | None = None, keep: bool = False, extractor=extract.heuristic_extraction) -> GraphTables:
     """The graph of ``chunks(chunk_id, doc_id, ord, text)``. With ``keep`` the facts and the
     links, which several tables derive from, are written first."""
     config = config or GraphConfig()
     store = (lambda df, tag: materialize(df, tag)) if keep else (lambda df, tag: df)
-    bound = store(extract.fact_entities(extract.facts(extract.heuristic_extraction(chunks))), "bound")
+    extracted = extractor(chunks)
+    bound = store(extract.fact_entities(extract.facts(extracted)), "bound")
     texts = store(graph.proposition_texts(bound, config.texts_per_proposition), "texts")
     links = store(graph.proposition_links(bound, texts), "links")
     pairs = store(graph.asserted(links, bound), "pairs")
-    # entities are those bound to a fact, typed once each
-    ents = graph.entity_nodes(mentioned(chunks))
+    ents = graph.entity_nodes(extracted.select("chunk_id", "doc_id", "ord", F.col("text").alias("chunk_text"), F.posexplode("entities").alias("pos", "entity")))
     if cache is None:
         cache = chunks.sparkSession.createDataFrame([], "canonical string, label string")
     typed = store(graph.type_entities(ents, cache, config.entity_type_labels, config.type_context_chars), "typed")
