@@ -1,63 +1,13 @@
-"""Session helpers shared by the operators of this subpackage."""
+"""What the operators of this subpackage share: the store, and ASCII case."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_own: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where it is unset (tests, a laptop) is a temporary folder made and set.
-    """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    base = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder, removed when the driver's Python ends."""
-    path = f"{shared_dir(spark)}/lodestone-{tag}-{uuid.uuid4().hex}"
-    _own.append((spark, path))
-    return path
-
-
-def remove_path(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _own:
-        try:
-            remove_path(spark, path)
-        except Exception:  # the JVM may be gone
-            return
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there, so a lost
-    executor costs no recomputation and two consumers do not compute it twice."""
-    spark = df.sparkSession
-    path = scratch_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+from ..sources.store import materialize, read_table, remove_path, scratch_path, shared_dir
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["lower_ascii", "materialize", "read_table", "remove_path", "scratch_path", "shared_dir"]
 
 
 def lower_ascii(c: Column | str) -> Column:
