@@ -118,5 +118,126 @@ from documents d join m on m.doc_id = d.doc_id left join n on n.doc_id = d.doc_i
 """
 
 
+_FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_FOLD}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def _license_sql() -> str:
+    phrases = ", ".join(f"('{text}', '{label}')" for text, label in license.PHRASES)
+    templates = ", ".join(f"({n}, '{label}', '{text}')" for n, (label, text) in enumerate(license.TEMPLATES))
+    k = license.K
+    return f"""
+with w as (select row_number() over () as uid, doc_id, {_WORDS} as ws from documents),
+p as (select string_split(t, ' ') as ps, label from (values {phrases}) v(t, label)),
+places as (
+  select uid, label, i from (select uid, label, ps, ws, unnest(range(1, len(ws) - len(ps) + 2)) as i from w cross join p) where ws[i:i + len(ps) - 1] = ps
+), base as (
+  select uid, count(*) as n, min(i) - 1 as lo, max(i) - 1 as hi, array_to_string(list_sort(list(distinct label)), ',') as labels from places group by uid
+), t as (select n, label, string_split(x, ' ') as ts from (values {templates}) v(n, label, x)),
+tg as (select n, label, len(ts) as size, j, array_to_string(ts[j:j + {k - 1}], ' ') as gram from (select *, unnest(range(1, len(ts) - {k - 2})) as j from t)),
+dg as (select uid, i, array_to_string(ws[i:i + {k - 1}], ' ') as gram from (select uid, ws, unnest(range(1, len(ws) - {k - 2})) as i from w)),
+votes as (select distinct uid, n, label, size, i - j as d, j from dg join tg using (gram)),
+lines as (select *, case when d - lag(d) over (partition by uid, n order by d) <= {license.SLACK} then 0 else 1 end as fresh from (select distinct uid, n, d from votes)),
+spans as (select uid, n, d, sum(fresh) over (partition by uid, n order by d) as span from lines),
+cover as (select distinct uid, n, label, size, span, unnest(range(j, j + {k})) as x from votes join spans using (uid, n, d)),
+shares as (select uid, n, label, span, count(*) / size::double as share from cover group by uid, n, label, span, size),
+found as (select uid, max(share) as share from shares group by uid),
+named as (select uid, label from places union select uid, label from shares where share >= {license.COVER}),
+every as (select uid, array_to_string(list_sort(list(label)), ',') as labels from named group by uid)
+select w.doc_id, len(ws)::bigint as n_words, coalesce(b.n, 0)::bigint as n_base, b.lo::bigint as first_word, b.hi::bigint as last_word, coalesce(b.labels, '') as base_labels,
+  coalesce(e.labels, '') as labels, case when b.n > 0 then 1.0::double else coalesce(f.share, 0.0::double) end as score
+from w left join base b using (uid) left join every e using (uid) left join found f using (uid)
+"""
+
+
+_DECONTAM = f"""
+with d as (select row_number() over () as uid, doc_id, {_WORDS} as ws from documents),
+b as (select item_id, ws, len(ws) as w, least({decontam.K}, len(ws)) as n from (select item_id, {_WORDS} as ws from benchmark) where item_id is not null and len(ws) > 0),
+ig as (select item_id, n, w, gram, count(*) as c from (select item_id, n, w, array_to_string(ws[j:j + n - 1], ' ') as gram from (select *, unnest(range(1, w - n + 2)) as j from b)) group by all),
+dg as (select uid, n, p, array_to_string(ws[p:p + n - 1], ' ') as gram from (select uid, ws, n, unnest(range(1, len(ws) - n + 2)) as p from d cross join (select distinct n from b))),
+hits as (select uid, item_id, n, w, p from dg join ig using (n, gram)),
+cand as (select uid, item_id, n, w from hits group by all having count(*) >= {decontam.SIMILARITY}::double * (w - n + 1)),
+starts as (
+  select distinct uid, item_id, n, w, s, w - n + 1 as run from (select h.*, len(ws) as size, unnest(range(p - (h.w - h.n), p + 1)) as s from hits h semi join cand using (uid, item_id) join d using (uid))
+  where size >= w and s >= 1 and s + w - 1 <= size
+  union select uid, item_id, n, w, 1, len(ws) - n + 1 from cand join d using (uid) where len(ws) < w
+), wg as (
+  select s.uid, s.item_id, s.n, s.w, s.s, s.run, g.gram, count(*) as c from starts s join dg g on g.uid = s.uid and g.n = s.n and g.p between s.s and s.s + s.run - 1 group by all
+), sims as (
+  select uid, item_id, s, shared / (run + (w - n + 1) - shared)::double as x from (
+    select wg.uid, wg.item_id, wg.s, wg.run, wg.w, wg.n, sum(least(wg.c, ig.c)) as shared from wg join ig on ig.item_id = wg.item_id and ig.gram = wg.gram group by all)
+), best as (select *, row_number() over (partition by uid, item_id order by x desc, s) as rn from sims where x >= {decontam.SIMILARITY}::double)
+select d.doc_id, item_id, x as similarity, (s - 1)::bigint as first_word from best join d using (uid) where rn = 1
+"""
+
+
+def _chat_sql() -> str:
+    options = ", ".join(f"({r}, {s}, {k}, {c}, {n}, '{a}', '{','.join(fill)}')" for r in range(4) for s in range(4) for k, (c, n, a, fill) in enumerate(chat.OPTIONS[r][s]))
+    finish = ", ".join(f"({s}, {int(chat.FINISH[s])}, '{','.join(chat.ENDING[s])}')" for s in range(4))
+    close = "'<|im_end|>' || chr(10)"
+    empty = lambda roles: f"case when {roles} = '' then '' else array_to_string(list_transform(string_split({roles}, ','), lambda r: '<|im_start|>' || r || chr(10) || {close}), '') end"
+    return f"""
+with recursive o as (select * from (values {options}) v(code, state, ord, cost, nxt, action, fill)),
+z as (select * from (values {finish}) v(state, cost, ending)),
+t as (
+  select dense_rank() over (order by conv_id) as cid, conv_id, turn, role, replace(coalesce(text, ''), '<|im_', '< |im_') as body,
+    row_number() over (partition by conv_id order by turn nulls first, role nulls first, text nulls first) as i, count(*) over (partition by conv_id) as n,
+    case lower(trim(coalesce(role, ''))) when 'system' then 0 when 'user' then 1 when 'assistant' then 2 else 3 end as code
+  from conversations
+), g(cid, i, state, v) as (
+  select distinct cid, n + 1, z.state, z.cost::bigint from t cross join z
+  union all
+  select g.cid, g.i - 1, o.state, min(o.cost + g.v)::bigint from g join t on t.cid = g.cid and t.i = g.i - 1 join o on o.code = t.code and o.nxt = g.state group by g.cid, g.i, o.state
+), ch as (
+  select t.cid, t.i, o.*, row_number() over (partition by t.cid, t.i, o.state order by o.cost + g.v, o.ord) as rn
+  from t join o on o.code = t.code join g on g.cid = t.cid and g.i = t.i + 1 and g.state = o.nxt
+), f(cid, i, state) as (
+  select distinct cid, 1::bigint, 0 from t
+  union all
+  select f.cid, f.i + 1, ch.nxt from f join ch on ch.cid = f.cid and ch.i = f.i and ch.state = f.state and ch.rn = 1
+), x as (
+  select t.*, f.state, c.nxt, c.action, c.fill, c.cost, z.ending, z.cost as last_cost
+  from t join f using (cid, i) join ch c on c.cid = t.cid and c.i = t.i and c.state = f.state and c.rn = 1 join z on z.state = c.nxt
+)
+select conv_id, turn, role, case nxt when 1 then 'system' when 2 then 'user' else 'assistant' end as new_role, action,
+  case when i = n then array_to_string(list_filter([fill, ending], lambda y: y <> ''), ',') else fill end as inserted,
+  (cost + case when i = n then last_cost else 0 end)::bigint as cost,
+  case when action = 'merge' then chr(10) || body
+    else case when state <> 0 then {close} else '' end || {empty("fill")} || '<|im_start|>' || case nxt when 1 then 'system' when 2 then 'user' else 'assistant' end || chr(10) || body end
+    || case when i = n then {close} || {empty("ending")} else '' end as rendered
+from x
+"""
+
+
+def _url_sql() -> str:
+    """All token combinations of the labelled URLs instead of a tree of frequent ones."""
+    rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in urlfilter.RULES)
+    return rf"""
+with u as (
+  select page_id, url, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path, string_split(lower(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)), '.') as ls, row_number() over () as uid
+  from pages
+), k as (
+  select uid, page_id, case when not regexp_matches(coalesce(url, ''), '(?s)^.*?://') then [] else list_sort(list_distinct(
+    ['s:' || lower(regexp_extract(url, '(?s)^(.*?)://', 1)), 't:' || ls[len(ls)], 'd:' || array_to_string(ls[greatest(len(ls) - 1, 1):len(ls)], '.')]
+    || list_transform(ls[1:len(ls) - 2], lambda x: 'h:' || x)
+    || list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: 'p:' || regexp_replace(x, '[0-9]+', '0', 'g'))
+    || list_transform(list_filter(string_split(regexp_extract(url, '(?s)^.*?://[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> ''), lambda x: 'q:' || string_split(x, '=')[1]))) end as tokens from u
+), l as (select doc_id as page_id, coalesce(max(quality = 0 or toxic = 1), false) as bad from labels where doc_id is not null group by doc_id),
+b as (select tokens, bad::int as bad from k join l using (page_id)),
+c as (select bad, list_filter(tokens, lambda x, i: (mask >> (i - 1)) & 1 = 1) as combo from (select *, unnest(range(1, (1 << len(tokens))::bigint)) as mask from b)),
+r as (
+  select combo from c group by combo having sum(bad) >= {urlfilter.SUPPORT}::double * (select count(*) from b) and sum(bad) / count(*)::double >= {urlfilter.CONFIDENCE}::double
+    and sum(bad) / count(*)::double / (select avg(bad) from b) >= {urlfilter.LIFT}::double
+), hit as (select uid, bool_or(list_has_all(tokens, combo)) as blocked from k cross join r group by uid),
+f as (
+  select uid, h || p as rule, v, row_number() over (partition by uid order by length(h || p) desc) as rn from u join (values {rules}) w(h, p, v)
+  on (host = h or ends_with(host, '.' || h)) and starts_with(path, p)
+)
+select u.page_id, host, path, rule, coalesce(v, case when blocked then 'block' else 'allow' end) as verdict
+from u left join (select * from f where rn = 1) f using (uid) left join hit using (uid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_topk": _TOPK, "op6_warc": _WARC, "op9_minhash_dedup": _NEAR}
+    return {"op3_url_filter": _url_sql(), "op4_chat_format": _chat_sql(), "op5_license_scan": _license_sql(), "op7_decontamination": _DECONTAM, "op2_exact_topk": _TOPK, "op6_warc": _WARC, "op9_minhash_dedup": _NEAR}
