@@ -32,7 +32,7 @@ PARTS = {
     "paras": "select doc_id, qa_id, unnest(string_split(text, chr(10))) as raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 as ord from docs",
     "chunks": f"select 'C::' || qa_id || '::' || doc_id || '::s' || ord as chunk_id, doc_id, qa_id, ord, {strip('raw')} as text from paras where {strip('raw')} <> ''",
     # samples
-    "entries": f"""select doc_id::varchar as qa_id, substr(full_text, 1, 80) as question, pos, {strip("string_split(raw, ' ')[1]")} as title, regexp_split_to_array(raw, '[.|!?] ') as sents
+    "entries": f"""select doc_id::varchar as qa_id, string_split(full_text, chr(10))[1] as question, pos, {strip("string_split(raw, ' ')[1]")} as title, regexp_split_to_array(raw, '[.|!?] ') as sents
         from (select doc_id, full_text, unnest(string_split(full_text, chr(10))) as raw, generate_subscripts(string_split(full_text, chr(10)), 1) - 1 as pos from (select doc_id, coalesce(text, '') as full_text from documents))""",
     "titled": "select *, row_number() over (partition by qa_id, title order by pos) as rn from entries where title <> ''",
     "kept_entries": "select * from titled where rn = 1",
@@ -75,7 +75,7 @@ PARTS = {
     "ppairs": "select distinct l.prop_id, b.entity from (select distinct prop_id, fact_id from plinks) l join bound b using (fact_id)",
     "canon": rf"select *, regexp_replace(lower({strip('entity')}), '\s+', ' ', 'g') as canonical from ments",
     "ents": "select 'ent::' || canonical as id, canonical, f.e as text, f.c as context from (select canonical, arg_min({'e': entity, 'c': chunk_text}, {'d': doc_id, 'o': ord, 'p': pos}) as f from canon group by canonical)",
-    "cache": "select canonical, case length(canonical) % 4 when 0 then 'PERSON' when 1 then 'LOCATION' when 2 then 'OTHER' else 'UNKNOWN' end as label from ents where length(canonical) % 5 = 0",
+    "cache": "select canonical, case when length(canonical) < 7 then 'PERSON' when length(canonical) < 9 then 'LOCATION' when length(canonical) < 11 then 'OTHER' else 'UNKNOWN' end as label from ents where regexp_matches(canonical, '^[aeiou]')",
     "typed": """select e.id, e.canonical, e.text, coalesce(c.label, case
           when contains(x, 'in ' || e.canonical) or contains(x, 'at ' || e.canonical) or contains(x, 'from ' || e.canonical) then 'LOCATION'
           when contains(x, e.canonical || ' is ') or contains(x, e.canonical || ' was ') or contains(x, e.canonical || ' and ') then 'PERSON' else 'OTHER' end) as label

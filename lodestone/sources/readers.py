@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, strip
+from .store import path_exists
 
 SAMPLE = "_id string, question string, answer string, context array<array<string>>, supporting_facts array<array<string>>"
 CHUNK = "id string, text string, title string, sent_idx int, qa_id string, question string, answer string, is_supporting boolean"
@@ -54,3 +55,21 @@ def clean_type_cache(rows: DataFrame, json: str = "value") -> DataFrame:
 def write_json(df: DataFrame, path: str) -> None:
     """One JSON object per line, UTF-8, nulls kept; the folder is made where needed."""
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def merged_type_cache(cache: DataFrame, typed: DataFrame) -> DataFrame:
+    """``(canonical, label)``: what is cached stays, newly typed entities are added."""
+    fresh = typed.select("canonical", "label").join(cache, "canonical", "left_anti")
+    return cache.select("canonical", "label").unionByName(fresh).dropDuplicates(["canonical"])
+
+
+def write_type_cache(cache: DataFrame, path: str) -> None:
+    """One JSON object per entity, which ``clean_type_cache`` reads back as text."""
+    cache.select(F.to_json(F.create_map("canonical", "label")).alias("value")).write.mode("overwrite").text(path)
+
+
+def read_type_cache(spark: SparkSession, path: str) -> DataFrame:
+    """A stored cache; an absent one is empty."""
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], "canonical string, label string")
+    return clean_type_cache(spark.read.text(path))

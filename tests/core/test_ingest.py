@@ -67,6 +67,15 @@ def test_type_cache_is_cleaned(spark):
         readers.clean_type_cache(spark.createDataFrame([("[1",)], "value string")).collect()
 
 
+def test_type_cache_is_stored_and_extended(spark, tmp_path):
+    path = f"file://{tmp_path}/cache"
+    assert readers.read_type_cache(spark, path).count() == 0
+    kind = "canonical string, label string"
+    cache, typed = spark.createDataFrame([("a", "PERSON")], kind), spark.createDataFrame([("a", "OTHER"), ("b c", "LOCATION")], kind)
+    readers.write_type_cache(readers.merged_type_cache(cache, typed), path)
+    assert sorted(map(tuple, readers.read_type_cache(spark, path).collect())) == [("a", "PERSON"), ("b c", "LOCATION")]
+
+
 def test_load_or_build_builds_once(spark, tmp_path):
     made = []
 
