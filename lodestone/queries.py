@@ -597,6 +597,18 @@ def core_number_documents(spark, d):
     return prior.core_numbers(prior.skeleton(_graph(spark, d).edges))
 
 
+@query()
+def betweenness_documents(spark, d):
+    """Betweenness on the documents' own skeleton, where SQL cannot afford all pairs."""
+    return prior.betweenness(prior.skeleton(_graph(spark, d).edges)).select("id", F.round("betweenness", 9).alias("betweenness"))
+
+
+@query()
+def struct_prior_documents(spark, d):
+    """The exact prior on the documents' own skeleton; nothing of it is left out."""
+    return prior.structural_prior(prior.skeleton(_graph(spark, d).edges)).select("id", F.round("s_struct", 6).alias("s_struct"))
+
+
 # --- query path -------------------------------------------------------------------------
 
 
