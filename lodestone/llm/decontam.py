@@ -1,12 +1,13 @@
-"""Benchmark decontamination: SimHash of item-sized windows, then exact similarity.
+"""Benchmark decontamination: item-sized windows, compared exactly.
 
 For each benchmark item of w words every window of w words is a candidate that holds enough
 of the item's shingles (an intersection below the threshold cannot reach it, so this drops
-no match). Candidates' 64-bit SimHashes are looked up in a multi-index: the bits are cut in
-seven blocks, and two fingerprints within radius 20 differ by at most two bits in one block
-at least, so listing each item under all block values within two bits finds all of them.
-Those within the radius are verified by weighted Jaccard similarity of the shingle
-multisets, sum of minima over sum of maxima.
+no match). All candidates are verified by weighted Jaccard similarity of the shingle
+multisets, sum of minima over sum of maxima; the minima of all windows of a text come from
+one sorted pass over the shared shingles.
+
+No SimHash decides: a repeated shingle moves many bits of a fingerprint of counts, so
+windows above the threshold lie beyond any radius that is worth an index.
 
 The benchmark goes to the executors in blocks of at most ``ITEM_BYTES`` of text, each one a
 pass over the documents; nothing of the documents is shuffled or collected.
@@ -27,7 +28,6 @@ from . import textkit as tk
 K, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 20, 7
 ITEM_BYTES = 8 << 20
 _CUTS = [64 * i // BLOCKS for i in range(BLOCKS + 1)]
-_BITS = np.arange(64, dtype=np.uint64)
 
 
 def _near_masks(bits: int, most: int) -> np.ndarray:
@@ -35,7 +35,10 @@ def _near_masks(bits: int, most: int) -> np.ndarray:
 
 
 class MultiIndex:
-    """Fingerprints by block value; ``near`` finds all within the radius."""
+    """Fingerprints by block value; ``near`` finds all within the radius.
+
+    Not used by ``contamination``, as near fingerprints are not all of the similar windows.
+    """
 
     def __init__(self, prints: np.ndarray, radius: int = RADIUS) -> None:
         self.prints, self.radius, self.tables = prints, radius, []
@@ -56,21 +59,8 @@ class MultiIndex:
         return some[np.bitwise_count(self.prints[some] ^ np.uint64(fingerprint)) <= self.radius]
 
 
-def simhashes(g: np.ndarray, w: int) -> np.ndarray:
-    """Fingerprints of all runs of w consecutive gram hashes, each occurrence counting one."""
-    bits = ((g[:, None] >> _BITS) & np.uint64(1)).astype(np.int32) * 2 - 1
-    total = np.zeros((len(g) + 1, 64), np.int32)
-    np.cumsum(bits, axis=0, out=total[1:])
-    return (((total[w:] - total[:-w]) > 0).astype(np.uint64) << _BITS).sum(axis=1, dtype=np.uint64)
-
-
-def weighted_similarity(a: Counter, b: Counter) -> float:
-    both = sum(min(n, b[x]) for x, n in a.items() if x in b)
-    return both / (sum(a.values()) + sum(b.values()) - both)
-
-
 class Benchmark:
-    """A block of items: their grams by hash, and a multi-index for each number of words."""
+    """A block of items: their grams by hash."""
 
     def __init__(self, rows: list[tuple[int, str]], k: int, similarity: float) -> None:
         self.similarity, self.k = similarity, k
@@ -95,15 +85,6 @@ class Benchmark:
             table = np.zeros(1 << 20, bool)
             table[(pairs[:, 0] >> np.uint64(44)).astype(np.int64)] = True
             self.lookup[length] = (table, pairs[:, 0].copy(), pairs[:, 1].astype(np.int64))
-        self.index = {}
-        for w in set(self.sizes):
-            who = np.array([i for i, x in enumerate(self.sizes) if x == w])
-            first = np.array([self._print(i) for i in who], np.uint64)
-            self.index[w] = (who, MultiIndex(first))
-
-    def _print(self, i: int) -> int:
-        g = np.array(list(self.grams[i].elements()), np.uint64)
-        return int(simhashes(g, len(g))[0])
 
     def matches(self, column: pa.Array) -> Iterator[tuple[int, int, float, int]]:
         """(row, item number, best similarity, first word) of each item found in a text."""
@@ -136,6 +117,7 @@ class Benchmark:
         """The most similar window of a text's words lo to hi; the first of equal ones."""
         w = self.sizes[i]
         run = w - length + 1  # grams of a window
+        size = run  # grams of the item
         if hi - lo < w:  # a text shorter than the item is one window
             start, run = np.array([lo]), hi - lo - length + 1
         else:
@@ -143,22 +125,27 @@ class Benchmark:
             start = start[(start >= lo) & (start + w <= hi)]
             inside = np.searchsorted(hits, start + run) - np.searchsorted(hits, start)
             start = start[inside >= self.need[i]]
-        who, index = self.index[w]
-        best, seen = None, set()
-        for part in np.split(start, np.flatnonzero(np.diff(start) > 1) + 1):
-            if not len(part):
-                continue
-            prints = simhashes(g[part[0] : part[-1] + run], run)
-            for s, p in zip(part.tolist(), prints.tolist(), strict=True):
-                grams = g[s : s + run]
-                if i not in who[index.near(p)] or (key := grams.tobytes()) in seen:
-                    continue
-                if len(seen) < 4096:
-                    seen.add(key)
-                x = weighted_similarity(Counter(grams.tolist()), self.grams[i])
-                if x >= self.similarity and (best is None or x > best[0]):
-                    best = (x, s)
-        return best
+        if not len(start):
+            return None
+        both = self._shared(i, g[hits], hits, start, run)
+        x = both / (run + size - both)
+        at = int(np.argmax(x))
+        return (float(x[at]), int(start[at])) if x[at] >= self.similarity else None
+
+    def _shared(self, i: int, grams: np.ndarray, hits: np.ndarray, start: np.ndarray, run: int) -> np.ndarray:
+        """Sums of minima of item i's counts and those of the windows at ``start``.
+
+        A gram that the item has c times counts in a window unless c equal ones stand before
+        it there: a hit at p counts for starts after both p - run and its c-th predecessor.
+        """
+        order = np.argsort(grams, kind="stable")
+        kinds, first, sizes = np.unique(grams[order], return_index=True, return_counts=True)
+        most = np.repeat([self.grams[i][x] for x in kinds.tolist()], sizes)
+        rank = np.arange(len(grams))
+        fine = rank - np.repeat(first, sizes) >= most
+        after = hits[order] - run
+        after[fine] = np.maximum(after[fine], hits[order][rank[fine] - most[fine]])
+        return np.searchsorted(np.sort(after), start) - np.searchsorted(np.sort(hits), start)
 
 
 def _blocks(benchmark: DataFrame, k: int, similarity: float) -> Iterator[Benchmark]:

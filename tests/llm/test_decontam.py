@@ -106,3 +106,17 @@ def test_items_in_blocks_and_empty_tables(spark, monkeypatch):
     assert decontam.contamination(docs.limit(0), items).count() == 0
     assert decontam.contamination(docs, items.limit(0)).count() == 0
     assert decontam.drop_contaminated(docs, items.limit(0)).count() == 2
+
+
+def test_repeated_words_in_a_long_item(spark):
+    rnd = random.Random(7)
+    item = [f"w{i}" for i in range(300)]
+    docs, near = [], []
+    for d in range(12):
+        at = rnd.randrange(20, 250)
+        docs.append((d, " ".join(rnd.choices(item, k=40) + item[:at] + ["mask"] * 28 + item[at + 28 :] + rnd.choices(item, k=40))))
+    for d in range(12, 24):  # few words, so that counts decide
+        near.append((d, " ".join(rnd.choices("abc", k=20)) + " x " + " ".join(rnd.choices("ab", k=12))))
+    items = [(0, " ".join(item)), (1, "a b a b a b a b a b a b"), (2, "c"), (3, "a a a a a a a a"), (4, near[0][1])]
+    got = found(decontam.contamination(spark.createDataFrame(docs + near, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")))
+    assert got == brute(docs + near, items) and {(d, 0) for d in range(12)} <= got.keys()
