@@ -4,7 +4,9 @@ All rolling k-gram hashes of a text are compared with those of the templates. A
 at word i of the text and word j of a template votes for the diagonal i - j of that pair; a
 copied notice gives many votes on one diagonal, edited words shift it by a few. Votes are
 aggregated by diagonal, neighbouring diagonals merged, and a merged span is verified by the
-share of the template's words that its grams cover.
+share of the template's words that its grams cover. The share alone would take a notice of
+another license for that of a template that differs in one word, so a span must also hold
+the words that decide a label.
 """
 
 from __future__ import annotations
@@ -32,6 +34,12 @@ TEMPLATES = (
     ("gpl-3", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
     ("bsd-3", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
 )
+#: Words that a span must hold for a label, each in one of its spellings; of these, the ones
+#: whose first spelling stands in the template. None is longer than a gram.
+DECIDING = {
+    "cc-by-nc": (("by nc",), ("noncommercial", "non commercial")),
+    "gpl-3": (("gnu general",), ("version 3",)),
+}
 K, SLACK, COVER = 3, 3, 0.8
 _ROWS = "uid long, doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, gram long, words string, pos long"
 
@@ -41,11 +49,23 @@ def _hash(text: str) -> np.ndarray:
 
 
 def _template_grams(templates: tuple, k: int) -> list[tuple]:
+    """A row per gram, with bits of the deciding words in it and of all of its template's.
+
+    A gram of another spelling of deciding words decides only; it covers no word."""
     out = []
     for n, (label, text) in enumerate(templates):
         words = text.split()
-        grams = tk.grams(_hash(text), k).view(np.int64).tolist()
-        out += [(g, " ".join(words[j : j + k]), n, label, len(words), j) for j, g in enumerate(grams)]
+        asked = [p for p in DECIDING.get(label, ()) if f" {p[0]} " in f" {text} "]
+        every = (1 << len(asked)) - 1
+        seen = set()
+        for said in [text, *(f" {text} ".replace(f" {p[0]} ", f" {x} ").strip() for p in asked for x in p[1:])]:
+            own = said.split()
+            for j, g in enumerate(tk.grams(_hash(said), k).view(np.int64).tolist()):
+                gram = " ".join(own[j : j + k])
+                bits = sum(1 << i for i, p in enumerate(asked) if any(f" {x} " in f" {gram} " for x in p))
+                if said == text or (bits and gram not in seen):
+                    out.append((g, gram, n, label, len(words), j, said == text, bits, every))
+                    seen.add(gram)
     return out
 
 
@@ -101,7 +121,7 @@ def scan_licenses(docs: DataFrame, phrases: tuple = PHRASES, templates: tuple =
 
     Words are runs of digits, a-z (A-Z lower-cased) and characters beyond ASCII. Base: all
     places where a phrase's words stand consecutively. The voting adds the label of every
-    template of which ``cover`` of the words are found; score is the largest covered share,
+    template of which ``cover`` of the words and all deciding ones are found; score is the largest covered share,
     1 where a phrase stands, else 0 without a vote. A null or empty text has no words, empty
     labels and score 0. Rows with null or repeated ids are scanned each; further columns are
     ignored; an empty table gives an empty result.
@@ -110,16 +130,18 @@ def scan_licenses(docs: DataFrame, phrases: tuple = PHRASES, templates: tuple =
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     grams = _template_grams(templates, k)
     seen = materialize(_scan(docs, phrases, np.array([g[0] for g in grams], np.int64), k), "license")
-    known = spark.createDataFrame(grams, "gram long, words string, template int, label string, size int, at long")
+    known = spark.createDataFrame(grams, "gram long, words string, template int, label string, size int, at long, covers boolean, bits int, every int")
     votes = seen.where("gram is not null").select("uid", "gram", "words", "pos").join(F.broadcast(known), ["gram", "words"])
-    lines = votes.groupBy("uid", "template", "label", "size", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("ats"))
+    key = ["uid", "template", "label", "size", "every"]
+    ats = F.collect_set(F.when(F.col("covers"), F.col("at")))
+    lines = votes.groupBy(*key, (F.col("pos") - F.col("at")).alias("diagonal")).agg(ats.alias("ats"), F.bit_or("bits").alias("bits"))
     w = Window.partitionBy("uid", "template").orderBy("diagonal")
     fresh = (F.col("diagonal") - F.lag("diagonal").over(w) > SLACK) | F.lag("diagonal").over(w).isNull()
     spans = lines.withColumn("fresh", fresh.cast("int")).withColumn("span", F.sum("fresh").over(w))
-    spans = spans.groupBy("uid", "template", "label", "size", "span").agg(F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"))
+    spans = spans.groupBy(*key, "span").agg(F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"), F.bit_or("bits").alias("bits"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("ats", lambda a: F.sequence(a, a + (k - 1))))))
     spans = spans.withColumn("share", covered / F.col("size"))
-    found = spans.groupBy("uid").agg(F.max("share").alias("share"), F.collect_set(F.when(F.col("share") >= cover, F.col("label"))).alias("found"))
+    found = spans.groupBy("uid").agg(F.max("share").alias("share"), F.collect_set(F.when((F.col("share") >= cover) & (F.col("bits") == F.col("every")), F.col("label"))).alias("found"))
     rows = seen.where("gram is null").join(found, "uid", "left")
     base = F.filter(F.split("base_labels", ","), lambda x: x != "")
     labels = F.array_join(F.array_sort(F.array_union(base, F.coalesce("found", F.array().cast("array<string>")))), ",")

@@ -79,3 +79,20 @@ def test_repeated_and_null_ids_and_empty_table(spark):
     df = spark.createDataFrame([(None, "under the mit license"), (1, "a"), (1, "a")], "doc_id long, text string")
     assert sorted((r.doc_id is None, r.labels) for r in license.scan_licenses(df).collect()) == [(False, ""), (False, ""), (True, "mit")]
     assert license.scan_licenses(df.limit(0)).count() == 0
+
+
+CC = "This work is licensed under a Creative Commons Attribution{} 4.0 International License."
+GPL = "This work is licensed under the GNU {}General Public License, version {}."
+LONG = license.TEMPLATES[7][1]
+NOTICES = [
+    (CC.format(""), ""), (CC.format("-ShareAlike"), ""), (CC.format("-NonCommercial"), "cc-by-nc"), (CC.format("-Non-Commercial"), "cc-by-nc"), (CC.format("-NonCommercial").replace("4.0", "3.0"), "cc-by-nc"),
+    (GPL.format("", 2), ""), (GPL.format("", 3), "gpl-3"), (GPL.format("Lesser ", 3), ""), (GPL.format("Affero ", 3), ""),
+    (LONG.replace("version 3", "version 2"), ""), (LONG.replace("gnu general", "gnu lesser general"), ""), (LONG.replace("redistribute it", "pass it on"), "gpl-3"),
+]
+
+
+def test_deciding_words(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(NOTICES)], "doc_id long, text string")
+    rows = license.scan_licenses(df).collect()
+    assert {r.doc_id: r.labels for r in rows} == {i: label for i, (_, label) in enumerate(NOTICES)}
+    assert all(r.score >= license.COVER for r in rows)
