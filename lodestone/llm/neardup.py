@@ -3,7 +3,8 @@
 One permutation of the shingle hashes gives two signature values, its minimum and its
 maximum over the set, so a signature of 192 values costs 96 evaluations per shingle. Six
 values (three permutations) make a band and 32 bands give the candidates: a pair of
-similarity 0.85 is missed with probability 3e-7, one of 0.80 with 6e-5. Candidates are
+similarity 0.85 is missed with probability 3e-7, one of 0.80 with 6e-5 where sets are large. For
+4 of 5 shared shingles it is 4.2e-4, as minimum and maximum are never one shingle. Candidates are
 confirmed on the full shingle sets.
 
 No group is ever expanded into all its pairs. Equal sets become one class. A bucket links
