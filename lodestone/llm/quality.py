@@ -6,7 +6,8 @@ bounded sample of those labelled good. A document's importance weight is the sum
 log((target + m) / (expected under raw + m)) over its n-grams, kept in fixed point so that
 sums do not depend on partitions. Selection is Gumbel top-k: weight / temperature plus
 Gumbel noise drawn from a hash of the row, the k largest stay, which samples without
-replacement in proportion to the weights.
+replacement in proportion to the weights to the power 1 / temperature. At the temperature
+of 0.25 that is the fourth power, which is close to a plain threshold.
 """
 
 from __future__ import annotations
