@@ -1,10 +1,12 @@
 """Benchmark decontamination: item-sized windows, compared exactly.
 
-For each benchmark item of w words every window of w words is a candidate that holds enough
-of the item's shingles (an intersection below the threshold cannot reach it, so this drops
-no match). All candidates are verified by weighted Jaccard similarity of the shingle
-multisets, sum of minima over sum of maxima; the minima of all windows of a text come from
-one sorted pass over the shared shingles.
+For each benchmark item of w words all windows of w words of every text are judged by the
+weighted Jaccard similarity of the shingle multisets, sum of minima over sum of maxima. A
+window that reaches the threshold cannot lack all of an item's rarest shingles, when these
+are more than it may miss; they are the item's anchors, and only windows that hold one are
+looked at. In these all shared shingles are found, windows with too few are left out, and
+the sums of minima of the others come from one sorted pass. No step can drop a match, and a
+shingle that very many items or texts hold is no anchor where an item has rarer ones.
 
 No SimHash decides: a repeated shingle moves many bits of a fingerprint of counts, so
 windows above the threshold lie beyond any radius that is worth an index.
@@ -15,7 +17,6 @@ pass over the documents; nothing of the documents is shuffled or collected.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,127 +26,179 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 
-K, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 20, 7
+K, SIMILARITY = 5, 0.8
 ITEM_BYTES = 8 << 20
-_CUTS = [64 * i // BLOCKS for i in range(BLOCKS + 1)]
-
-
-def _near_masks(bits: int, most: int) -> np.ndarray:
-    return np.array([m for m in range(1 << bits) if m.bit_count() <= most], np.int64)
-
-
-class MultiIndex:
-    """Fingerprints by block value; ``near`` finds all within the radius.
-
-    Not used by ``contamination``, as near fingerprints are not all of the similar windows.
-    """
-
-    def __init__(self, prints: np.ndarray, radius: int = RADIUS) -> None:
-        self.prints, self.radius, self.tables = prints, radius, []
-        for lo, hi in zip(_CUTS[:-1], _CUTS[1:], strict=True):
-            own = ((prints >> np.uint64(lo)) & np.uint64((1 << (hi - lo)) - 1)).astype(np.int64)
-            masks = _near_masks(hi - lo, radius // BLOCKS)
-            value = (own[:, None] ^ masks).ravel()
-            who = np.repeat(np.arange(len(prints)), len(masks))
-            order = np.argsort(value, kind="stable")
-            self.tables.append((lo, hi, who[order], np.searchsorted(value[order], np.arange((1 << (hi - lo)) + 1))))
-
-    def near(self, fingerprint: int) -> np.ndarray:
-        found = []
-        for lo, hi, who, at in self.tables:
-            v = fingerprint >> lo & ((1 << (hi - lo)) - 1)
-            found.append(who[at[v] : at[v + 1]])
-        some = np.unique(np.concatenate(found))
-        return some[np.bitwise_count(self.prints[some] ^ np.uint64(fingerprint)) <= self.radius]
+#: Hits and positions that are looked at together, so that memory follows neither the items
+#: that share a shingle nor the texts of a batch.
+TOGETHER = 1 << 20
+
+
+def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers first[i], first[i] + 1, ... of each range of n[i], one after the other."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
+def _groups(size: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of entries whose sizes add up to at most TOGETHER, or single larger ones."""
+    upto, at = np.cumsum(size), 0
+    while at < len(size):
+        before = int(upto[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(upto, before + TOGETHER, "right")))
+        yield at, to
+        at = to
+
+
+def _own(gram: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """One key for a gram of an item."""
+    return tk.mix(gram ^ tk.mix(item.astype(np.uint64) + np.uint64(1)))
+
+
+class _Side:
+    """The items whose shingles have one length: anchors by gram, and all their grams."""
+
+    def __init__(self, parts: list[tuple[int, np.ndarray]], length: int, similarity: float) -> None:
+        self.length = length
+        total = {i: len(g) for i, g in parts}
+        grams, items = np.concatenate([g for _, g in parts]), np.concatenate([np.full(len(g), i, np.int64) for i, g in parts])
+        order = np.lexsort((items, grams))
+        grams, items = grams[order], items[order]
+        first = np.flatnonzero(np.append(True, (grams[1:] != grams[:-1]) | (items[1:] != items[:-1])))
+        counts = np.diff(np.append(first, len(grams)))
+        grams, items = grams[first], items[first]
+        _, kind, holders = np.unique(grams, return_inverse=True, return_counts=True)
+        order = np.lexsort((grams, holders[kind], items))  # of each item the rarest grams first
+        c, i = counts[order], items[order]
+        upto = np.cumsum(c)
+        head = np.append(True, i[1:] != i[:-1])
+        before = upto - c - np.maximum.accumulate(np.where(head, upto - c, 0))
+        size = np.array([total[x] for x in i.tolist()])
+        anchors = order[before < size - np.ceil(similarity * size - 1e-9) + 1]
+        anchors = anchors[np.lexsort((items[anchors], grams[anchors]))]
+        self.keys, self.who = grams[anchors], items[anchors]
+        self.table = np.zeros(1 << 20, bool)
+        self.table[(self.keys >> np.uint64(44)).astype(np.int64)] = True
+        own = _own(grams, items)
+        order = np.argsort(own, kind="stable")
+        self.own, self.counts = own[order], counts[order]
+
+    def anchor_hits(self, g: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(row, item, position), sorted, of all hits; those of an item in a text together."""
+        pos = np.flatnonzero(self.table[(g >> np.uint64(44)).astype(np.int64)])
+        lo, hi = np.searchsorted(self.keys, g[pos], "left"), np.searchsorted(self.keys, g[pos], "right")
+        row = np.searchsorted(at, pos, "right") - 1
+        fine = (hi > lo) & (pos + self.length <= at[row + 1])
+        pos, lo, row, n = pos[fine], lo[fine], row[fine], (hi - lo)[fine]
+        if not len(pos):
+            return
+        ends = np.append(np.flatnonzero(np.diff(row)) + 1, len(pos))
+        begins = np.append(0, ends[:-1])
+        for a, b in _groups(np.add.reduceat(n, begins)):
+            a, b = int(begins[a]), int(ends[b - 1])
+            shares = -(-int(n[a:b].sum()) // TOGETHER)  # more than one for a single text only
+            for share in range(shares):
+                found = []
+                for x, y in _groups(n[a:b]):
+                    x, y = a + x, a + y
+                    item = self.who[_ranges(lo[x:y], n[x:y])]
+                    mine = item % shares == share
+                    found.append((np.repeat(row[x:y], n[x:y])[mine], item[mine], np.repeat(pos[x:y], n[x:y])[mine]))
+                r, i, p = (np.concatenate(c) for c in zip(*found, strict=True))
+                order = np.lexsort((p, i, r))
+                if len(order):
+                    yield r[order], i[order], p[order]
 
 
 class Benchmark:
-    """A block of items: their grams by hash."""
+    """A block of items: their shingles by hash."""
 
     def __init__(self, rows: list[tuple[int, str]], k: int, similarity: float) -> None:
-        self.similarity, self.k = similarity, k
-        self.ids, self.sizes, self.grams, self.need = [], [], [], []
+        self.similarity = similarity
+        self.ids, sizes, totals = [], [], []
         h, _, _, at = tk.words(*tk.utf8(pa.array([t or "" for _, t in rows], pa.large_string())), tk.ALNUM)
-        own = defaultdict(list)  # by gram length
+        own: dict[int, list] = {}
         for r, (item, _) in enumerate(rows):
             words = h[at[r] : at[r + 1]]
             if item is None or not len(words):
                 continue
             g = tk.grams(words, min(k, len(words)))
-            n = len(self.ids)
+            own.setdefault(min(k, len(words)), []).append((len(self.ids), g))
             self.ids.append(item)
-            self.sizes.append(len(words))
-            self.grams.append(Counter(g.tolist()))
-            self.need.append(similarity * len(g))
-            own[min(k, len(words))].append((g, np.full(len(g), n)))
-        self.lookup = {}
-        for length, parts in own.items():
-            g, who = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            pairs = np.unique(np.stack([g, who.astype(np.uint64)], axis=1), axis=0)
-            table = np.zeros(1 << 20, bool)
-            table[(pairs[:, 0] >> np.uint64(44)).astype(np.int64)] = True
-            self.lookup[length] = (table, pairs[:, 0].copy(), pairs[:, 1].astype(np.int64))
+            sizes.append(len(words))
+            totals.append(len(g))
+        self.sizes, self.totals = np.array(sizes, np.int64), np.array(totals, np.int64)
+        self.sides = [_Side(parts, length, similarity) for length, parts in own.items()]
 
     def matches(self, column: pa.Array) -> Iterator[tuple[int, int, float, int]]:
         """(row, item number, best similarity, first word) of each item found in a text."""
         h, _, _, at = tk.words(*tk.utf8(column), tk.ALNUM)
         if not len(h):
             return
-        for length, (table, keys, who) in self.lookup.items():
-            g = tk.grams(h, length)
-            pos = np.flatnonzero(table[(g >> np.uint64(44)).astype(np.int64)])
-            lo, hi = np.searchsorted(keys, g[pos], "left"), np.searchsorted(keys, g[pos], "right")
-            row = np.searchsorted(at, pos, "right") - 1
-            fine = (hi > lo) & (pos + length <= at[row + 1])
-            pos, lo, hi, row = pos[fine], lo[fine], hi[fine], row[fine]
-            if not len(pos):
-                continue
-            n = hi - lo
-            item = who[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-            pos, row = np.repeat(pos, n), np.repeat(row, n)
-            order = np.lexsort((pos, item, row))
-            pos, row, item = pos[order], row[order], item[order]
-            cut = np.flatnonzero((np.diff(row) != 0) | (np.diff(item) != 0)) + 1
-            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(pos)], strict=True):
-                i, r = int(item[a]), int(row[a])
-                if b - a >= self.need[i]:
-                    best = self._best(i, g, pos[a:b], int(at[r]), int(at[r + 1]), length)
-                    if best:
-                        yield r, i, best[0], best[1] - int(at[r])
-
-    def _best(self, i: int, g: np.ndarray, hits: np.ndarray, lo: int, hi: int, length: int) -> tuple[float, int] | None:
-        """The most similar window of a text's words lo to hi; the first of equal ones."""
-        w = self.sizes[i]
-        run = w - length + 1  # grams of a window
-        size = run  # grams of the item
-        if hi - lo < w:  # a text shorter than the item is one window
-            start, run = np.array([lo]), hi - lo - length + 1
-        else:
-            start = np.unique((hits[:, None] - np.arange(run)).ravel())
-            start = start[(start >= lo) & (start + w <= hi)]
-            inside = np.searchsorted(hits, start + run) - np.searchsorted(hits, start)
-            start = start[inside >= self.need[i]]
+        for side in self.sides:
+            g = tk.grams(h, side.length)
+            for row, item, pos in side.anchor_hits(g, at):
+                yield from self._verified(side, g, at, row, item, pos)
+
+    def _verified(self, side: _Side, g: np.ndarray, at: np.ndarray, row: np.ndarray, item: np.ndarray, pos: np.ndarray) -> Iterator[tuple[int, int, float, int]]:
+        lo, w = at[row], self.sizes[item]
+        run = np.minimum(w, at[row + 1] - lo) - side.length + 1  # shingles of a window; a shorter text is one
+        last = at[row + 1] - side.length + 1 - run
+        head = np.append(True, (np.diff(row) != 0) | (np.diff(item) != 0))
+        # windows that hold an anchor, each once, and the shingles in them, each once
+        begin, end = np.maximum(pos - run + 1, lo), np.minimum(pos, last)
+        begin[1:] = np.where(head[1:], begin[1:], np.maximum(begin[1:], pos[:-1] + 1))
+        windows = np.maximum(end - begin + 1, 0)
+        reach = end + run
+        start = begin.copy()
+        start[1:] = np.where(head[1:], start[1:], np.maximum(start[1:], reach[:-1]))
+        inside = np.maximum(reach - start, 0)
+        heads = np.flatnonzero(head)
+        tails = np.append(heads[1:], len(pos))
+        for a, b in _groups(np.add.reduceat(inside, heads)):
+            x, y = int(heads[a]), int(tails[b - 1])
+            p = _ranges(start[x:y], inside[x:y])
+            pair = np.repeat(np.cumsum(head[x:y]) - 1, inside[x:y])
+            key = _own(g[p], item[heads[a:b]][pair])
+            j = np.searchsorted(side.own, key)
+            j[j == len(side.own)] = 0
+            hit = side.own[j] == key
+            p, pair, j = p[hit], pair[hit], j[hit]
+            cut = np.searchsorted(pair, np.arange(b - a + 1))
+            for q in np.flatnonzero(np.diff(cut) >= self._need(item[heads[a:b]], run[heads[a:b]])).tolist():
+                z = int(heads[a + q])
+                s, e = int(cut[q]), int(cut[q + 1])
+                starts = _ranges(begin[z : tails[a + q]], windows[z : tails[a + q]])
+                best = self._best(int(item[z]), int(run[z]), p[s:e], j[s:e], side.counts[j[s:e]], starts)
+                if best:
+                    yield int(row[z]), int(item[z]), best[0], best[1] - int(lo[z])
+
+    def _need(self, item: np.ndarray | int, run: np.ndarray | int) -> np.ndarray:
+        """The least intersection that a window of so many shingles needs."""
+        return self.similarity * (self.totals[item] + run) / (1 + self.similarity) - 1e-9
+
+    def _best(self, i: int, run: int, hits: np.ndarray, kind: np.ndarray, most: np.ndarray, start: np.ndarray) -> tuple[float, int] | None:
+        """The most similar of the windows at ``start``; the first of equal ones."""
+        start = start[np.searchsorted(hits, start + run) - np.searchsorted(hits, start) >= self._need(i, run)]
         if not len(start):
             return None
-        both = self._shared(i, g[hits], hits, start, run)
-        x = both / (run + size - both)
+        both = _shared(hits, kind, most, start, run)
+        x = both / (run + int(self.totals[i]) - both)
         at = int(np.argmax(x))
         return (float(x[at]), int(start[at])) if x[at] >= self.similarity else None
 
-    def _shared(self, i: int, grams: np.ndarray, hits: np.ndarray, start: np.ndarray, run: int) -> np.ndarray:
-        """Sums of minima of item i's counts and those of the windows at ``start``.
 
-        A gram that the item has c times counts in a window unless c equal ones stand before
-        it there: a hit at p counts for starts after both p - run and its c-th predecessor.
-        """
-        order = np.argsort(grams, kind="stable")
-        kinds, first, sizes = np.unique(grams[order], return_index=True, return_counts=True)
-        most = np.repeat([self.grams[i][x] for x in kinds.tolist()], sizes)
-        rank = np.arange(len(grams))
-        fine = rank - np.repeat(first, sizes) >= most
-        after = hits[order] - run
-        after[fine] = np.maximum(after[fine], hits[order][rank[fine] - most[fine]])
-        return np.searchsorted(np.sort(after), start) - np.searchsorted(np.sort(hits), start)
+def _shared(hits: np.ndarray, kind: np.ndarray, most: np.ndarray, start: np.ndarray, run: int) -> np.ndarray:
+    """Sums of minima of an item's counts ``most`` and those of the windows at ``start``.
+
+    A shingle that the item has c times counts in a window unless c equal ones stand before
+    it there: a hit at p counts for starts after both p - run and its c-th predecessor.
+    """
+    order = np.argsort(kind, kind="stable")
+    kinds, p, c = kind[order], hits[order], most[order]
+    rank = np.arange(len(p)) - np.searchsorted(kinds, kinds)
+    late = np.flatnonzero(rank >= c)
+    after = p - run
+    after[late] = np.maximum(after[late], p[late - c[late]])
+    return np.searchsorted(np.sort(after), start) - np.searchsorted(hits, start)
 
 
 def _blocks(benchmark: DataFrame, k: int, similarity: float) -> Iterator[Benchmark]:
@@ -177,8 +230,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, k: int = K, similarity:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for whole in batches:
-                for at in range(0, whole.num_rows, 1000):
-                    b = whole.slice(at, 1000)
+                for b in tk.parts(whole):
                     found = [(r, shared.value.ids[i], x, s) for r, i, x, s in shared.value.matches(b.column("text"))]
                     rows = pa.array([f[0] for f in found], pa.int64())
                     rest = [pa.array([f[j] for f in found], t) for j, t in ((1, pa.int64()), (2, pa.float64()), (3, pa.int64()))]
@@ -195,8 +247,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, k: int = K, similar
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for whole in batches:
-                for at in range(0, whole.num_rows, 1000):
-                    b = whole.slice(at, 1000)
+                for b in tk.parts(whole):
                     keep = np.ones(b.num_rows, bool)
                     for r, *_ in shared.value.matches(b.column(b.schema.names.index("text"))):
                         keep[r] = False

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 BLOCK = 1 << 19
 U = np.uint64
@@ -72,6 +73,18 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def parts(batch: pa.RecordBatch, column: str = "text", rows: int = 2000, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch that hold at most ``rows`` rows and, but for a single long row,
+    ``size`` bytes of one column, so that memory does not follow the batch."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = int(upto[at - 1]) if at else 0
+        to = max(at + 1, min(at + rows, int(np.searchsorted(upto, before + size, "right"))))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def _pieces(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> Iterator[tuple[int, int]]:
     """Byte ranges of about BLOCK bytes that end at a text's end or between words."""
     at, end, i = 0, int(offsets[-1]), 0

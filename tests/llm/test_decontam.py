@@ -4,7 +4,8 @@ import random
 import re
 from collections import Counter
 
-import numpy as np
+import pyarrow as pa
+import pytest
 
 from lodestone.llm import decontam
 from lodestone.llm.queries import op7_decontamination
@@ -85,18 +86,6 @@ def test_edited_passages(spark):
     assert decontam.drop_contaminated(spark_docs, spark_items).columns == spark_docs.columns
 
 
-def test_multi_index_finds_all_within_the_radius():
-    rng = np.random.default_rng(1)
-    prints = rng.integers(0, 1 << 64, 300, dtype=np.uint64)
-    index = decontam.MultiIndex(prints)
-    for _ in range(200):
-        p = int(prints[rng.integers(300)])
-        for bit in rng.choice(64, rng.integers(0, 26), replace=False).tolist():
-            p ^= 1 << bit
-        want = {i for i, q in enumerate(prints.tolist()) if (q ^ p).bit_count() <= decontam.RADIUS}
-        assert set(index.near(p).tolist()) == want
-
-
 def test_items_in_blocks_and_empty_tables(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "a b c d e f g"), (2, "x")], "doc_id long, text string")
     items = spark.createDataFrame([(i, t) for i, t in enumerate(["a b c d e f", "b c d e f g", "x"])], "item_id long, text string")
@@ -120,3 +109,17 @@ def test_repeated_words_in_a_long_item(spark):
     items = [(0, " ".join(item)), (1, "a b a b a b a b a b a b"), (2, "c"), (3, "a a a a a a a a"), (4, near[0][1])]
     got = found(decontam.contamination(spark.createDataFrame(docs + near, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")))
     assert got == brute(docs + near, items) and {(d, 0) for d in range(12)} <= got.keys()
+
+
+@pytest.mark.parametrize("together", [1 << 20, 40, 1])
+def test_shared_phrases_and_long_texts_in_small_groups(monkeypatch, together):
+    """Shingles that every item holds, one text that holds them very often, tiny groups."""
+    monkeypatch.setattr(decontam, "TOGETHER", together)
+    rnd = random.Random(11)
+    phrase = "choose the best answer to the question below and explain"
+    items = [(i, " ".join([phrase, *(f"t{rnd.randrange(60)}" for _ in range(rnd.randrange(1, 30))), phrase])) for i in range(30)]
+    items += [(30, phrase), (31, " ".join([phrase] * 4)), (32, items[3][1])]
+    docs = [(0, " ".join([phrase] * 60)), (1, " and ".join(t for _, t in items)), (2, items[5][1] + " t1"), (3, phrase), (4, " ".join(f"t{rnd.randrange(60)}" for _ in range(300)))]
+    block = decontam.Benchmark(items, decontam.K, decontam.SIMILARITY)
+    got = {(docs[r][0], block.ids[i]): (round(x, 9), at) for r, i, x, at in block.matches(pa.array([t for _, t in docs]))}
+    assert got == brute(docs, items) and len(got) > 30
