@@ -32,30 +32,35 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[0x30:0x3A] = 0x30
 
 
-def _features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """For runs of texts: first and end row, a bucket for each position (-1: none) with the
-    repeats of words behind them, and where each text's part begins (n + 1 entries)."""
+def _features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For pieces of about ``tk.BLOCK`` bytes, of several texts or of one: first and end row,
+    a bucket for each position (-1: none) and for each word, and where each text's part of
+    both begins (n + 1 entries). Grams and pairs that begin in a piece may end beyond it."""
     data, offsets = tk.utf8(column)
-    n = len(offsets) - 1
-    i = 0
-    while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + tk.BLOCK, "right")) - 1)
-        at = offsets[i : j + 1] - offsets[i]
-        raw = data[offsets[i] : offsets[j]]
-        x = _FOLD[raw].astype(np.uint32)
-        bucket = np.full(len(x), -1, np.int64)
-        if len(x) >= 4:
-            g = x[:-3] | x[1:-2] << np.uint32(8) | x[2:-1] << np.uint32(16) | x[3:] << np.uint32(24)
-            bucket[:-3] = (g * np.uint32(2654435761)) >> np.uint32(16)
+    tail: tuple[int, np.uint64] | None = None  # a text that goes on, and its last word so far
+    for lo, hi in tk._pieces(data, offsets, tk.SPACED):
+        i, j = int(np.searchsorted(offsets, lo, "right")) - 1, int(np.searchsorted(offsets, hi, "left"))
+        at = np.clip(offsets[i : j + 1], lo, hi) - lo
+        x = np.zeros(hi - lo + 3, np.uint32)
+        seen = _FOLD[data[lo : hi + 3]]
+        x[: len(seen)] = seen
+        g = x[:-3] | x[1:-2] << np.uint32(8) | x[2:-1] << np.uint32(16) | x[3:] << np.uint32(24)
+        bucket = ((g * np.uint32(2654435761)) >> np.uint32(16)).astype(np.int64)
         for back in (1, 2, 3):
-            bucket[np.maximum(at[1:] - back, at[:-1])[at[1:] > at[:-1]]] = -1
-        h, start, _, first = tk.words(raw, at, tk.SPACED, fold=False)
+            p = offsets[i + 1 : j + 1] - back
+            bucket[p[(p >= offsets[i:j]) & (p >= lo) & (p < hi)] - lo] = -1
+        h, _, _, first = tk.words(data[lo:hi], at, tk.SPACED, fold=False)
         pair = np.full(len(h), -1, np.int64)
-        if len(h) > 1:
+        if len(h):
             pair[1:] = np.where(h[1:] == h[:-1], BUCKETS, BUCKETS + 1)
             pair[first[:-1][first[:-1] < len(h)]] = -1
+            if tail and tail[0] == i and first[1] > 0:
+                pair[0] = BUCKETS if h[0] == tail[1] else BUCKETS + 1
+        if first[-1] > first[-2]:
+            tail = (j - 1, h[-1])
+        elif tail and tail[0] != j - 1:
+            tail = None
         yield i, j, bucket, at, pair, first
-        i = j
 
 
 @dataclass
@@ -65,14 +70,14 @@ class Model:
 
     def score(self, column: pa.Array) -> np.ndarray:
         table = np.append(self.weights, 0)  # bucket -1
-        out = []
-        for _, _, bucket, at, pair, first in _features(column):
+        out = np.zeros(len(column), np.int64)
+        for i, j, bucket, at, pair, first in _features(column):
             part = np.zeros(len(bucket) + 1, np.int64)
             np.cumsum(table[bucket], out=part[1:])
             more = np.zeros(len(pair) + 1, np.int64)
             np.cumsum(table[pair], out=more[1:])
-            out.append(part[at[1:]] - part[at[:-1]] + more[first[1:]] - more[first[:-1]])
-        return np.concatenate([*out, np.zeros(0, np.int64)]) / FIXED
+            out[i:j] += part[at[1:]] - part[at[:-1]] + more[first[1:]] - more[first[:-1]]
+        return out / FIXED
 
 
 def _sample(labels: DataFrame) -> DataFrame:

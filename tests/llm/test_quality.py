@@ -4,6 +4,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,6 +61,18 @@ def test_held_out_accuracy(spark):
     assert np.mean(good) > 0.98 and np.mean(bad) < 0.1
 
 
+def test_long_texts_in_pieces_are_counted_whole(monkeypatch):
+    texts = [None, "", "a", "one one two", "", "word " * 30 + "word", "x" * 90, "a b\nb  c c", " " * 50, "é è é " * 20 + "12 34", None]
+    column = pa.array(texts)
+    rng = np.random.default_rng(2)
+    model = quality.Model(rng.integers(-9, 9, quality.BUCKETS + 2) * quality.FIXED, 0.0)
+    want = [sum(int(model.weights[f]) for f in features(t)) / quality.FIXED for t in texts]
+    for block in (1, 3, 7, 40, 1 << 19):
+        monkeypatch.setattr(quality.tk, "BLOCK", block)
+        assert model.score(column).tolist() == want
+    assert model.score(column[:0]).tolist() == []
+
+
 def test_kth_largest_is_exact(spark):
     rng = np.random.default_rng(3)
     for values in (rng.normal(size=7000).tolist(), [1.0] * 5000 + [2.0] * 10, rng.integers(0, 5, 6000).astype(float).tolist(), [4.0]):
