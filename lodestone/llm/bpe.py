@@ -169,12 +169,45 @@ class FastBpe:
         ids = self.pool[np.repeat(self.starts[slot] - upto[:-1], lens) + np.arange(upto[-1])]
         return ids, upto[np.searchsorted(start, at)]
 
+    def _cut(self, data: np.ndarray, at: int) -> int:
+        """A place of a text, at or after a byte, that pre-tokens never reach across: before
+        white space after anything else, or before a mark after a letter or number."""
+        while at < len(data):
+            part = data[at : at + CHARS]
+            lead = np.flatnonzero((part & 0xC0) != 0x80)  # code points that begin here
+            if len(lead) < 3:
+                break
+            stop = len(part) if at + len(part) == len(data) else int(lead[-1])
+            lead = lead[lead < stop]
+            kind = self._class_of(np.frombuffer(part[lead[0] : stop].tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32))
+            if len(kind) != len(lead):  # not UTF-8
+                break
+            a, b = kind[:-1], kind[1:]
+            fine = np.flatnonzero((a != S) & (b == S) | (b == O) & ((a == L) | (a == N)))
+            if len(fine):
+                return at + int(lead[fine[0] + 1])
+            at += int(lead[-1])
+        return len(data)
+
+    def _long(self, data: np.ndarray) -> np.ndarray:
+        """The ids of one text, by pieces of about CHARS bytes."""
+        ids, at = [], 0
+        while at < len(data):
+            to = self._cut(data, at + CHARS)
+            ids.append(self._block(data[at:to], np.array([0, to - at], np.int64))[0])
+            at = to
+        return np.concatenate(ids)
+
     def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text of a column, in order; a null has none."""
         data, offsets = utf8(column)
         i, n = 0, len(offsets) - 1
         while i < n:
             j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHARS, "right")) - 1)
+            if offsets[j] - offsets[i] > 2 * CHARS:
+                yield self._long(data[offsets[i] : offsets[j]])
+                i = j
+                continue
             ids, at = self._block(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             for k in range(j - i):
                 yield ids[at[k] : at[k + 1]]

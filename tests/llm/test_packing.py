@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lodestone.llm import packing
+from lodestone.llm import bpe, packing
 from lodestone.llm.bpe import fast_bpe
 from lodestone.llm.queries import op1_packing, tokenizer_path
 from tests.conftest import DATA
@@ -74,6 +74,18 @@ def test_ids_are_the_librarys(texts):
     assert [g.tolist() for g in got] == [encode(t) for t in texts]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("ab'sté汉。1 2\n\t,.!\u00a0\u3000😀"), max_size=120), max_size=4), st.sampled_from([1, 5, 17]))
+def test_long_texts_in_pieces(texts, chars):
+    encode, before = library(), bpe.CHARS
+    bpe.CHARS = chars
+    try:
+        got = list(fast_bpe(tokenizer_path()).encode(pa.array(texts, pa.string())))
+    finally:
+        bpe.CHARS = before
+    assert [g.tolist() for g in got] == [encode(t) for t in texts]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 64), min_size=1, max_size=60), st.sampled_from([64, 100]))
 def test_windows_hold_their_capacity(sizes, capacity):
