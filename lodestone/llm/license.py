@@ -32,11 +32,13 @@ TEMPLATES = (
     ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
     ("gpl-3", "this work is licensed under the gnu general public license version 3"),
     ("gpl-3", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
-    ("bsd-3", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
 )
 #: Words that a span must hold for a label, each in one of its spellings; of these, the ones
 #: whose first spelling stands in the template. None is longer than a gram.
 DECIDING = {
+    "mit": (("deal in",),),
+    "apache-2": (("apache",), ("version 2",), ("license 2",)),
     "cc-by-nc": (("by nc",), ("noncommercial", "non commercial")),
     "gpl-3": (("gnu general",), ("version 3",)),
 }

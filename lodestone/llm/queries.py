@@ -124,7 +124,7 @@ _WORDS = rf"regexp_extract_all({_FOLD}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 def _license_sql() -> str:
     phrases = ", ".join(f"('{text}', '{label}')" for text, label in license.PHRASES)
-    templates = ", ".join(f"({n}, '{label}', '{text}')" for n, (label, text) in enumerate(license.TEMPLATES))
+    grams = ", ".join(f"('{words}', {n}, '{label}', {size}, {j}, {covers}, {bits}, {every})" for _, words, n, label, size, j, covers, bits, every in license._template_grams(license.TEMPLATES, license.K))
     k = license.K
     return f"""
 with w as (select row_number() over () as uid, doc_id, {_WORDS} as ws from documents),
@@ -133,16 +133,16 @@ places as (
   select uid, label, i from (select uid, label, ps, ws, unnest(range(1, len(ws) - len(ps) + 2)) as i from w cross join p) where ws[i:i + len(ps) - 1] = ps
 ), base as (
   select uid, count(*) as n, min(i) - 1 as lo, max(i) - 1 as hi, array_to_string(list_sort(list(distinct label)), ',') as labels from places group by uid
-), t as (select n, label, string_split(x, ' ') as ts from (values {templates}) v(n, label, x)),
-tg as (select n, label, len(ts) as size, j, array_to_string(ts[j:j + {k - 1}], ' ') as gram from (select *, unnest(range(1, len(ts) - {k - 2})) as j from t)),
+), tg as (select * from (values {grams}) v(gram, n, label, size, j, covers, bits, every)),
 dg as (select uid, i, array_to_string(ws[i:i + {k - 1}], ' ') as gram from (select uid, ws, unnest(range(1, len(ws) - {k - 2})) as i from w)),
-votes as (select distinct uid, n, label, size, i - j as d, j from dg join tg using (gram)),
+votes as (select distinct uid, n, label, size, every, i - j as d, j, covers, bits from dg join tg using (gram)),
 lines as (select *, case when d - lag(d) over (partition by uid, n order by d) <= {license.SLACK} then 0 else 1 end as fresh from (select distinct uid, n, d from votes)),
 spans as (select uid, n, d, sum(fresh) over (partition by uid, n order by d) as span from lines),
-cover as (select distinct uid, n, label, size, span, unnest(range(j, j + {k})) as x from votes join spans using (uid, n, d)),
-shares as (select uid, n, label, span, count(*) / size::double as share from cover group by uid, n, label, span, size),
+asked as (select uid, n, span, label, size, every, bit_or(bits) as bits from votes join spans using (uid, n, d) group by all),
+cover as (select uid, n, span, count(distinct x) as c from (select uid, n, span, unnest(range(j, j + {k})) as x from votes join spans using (uid, n, d) where covers) group by all),
+shares as (select uid, label, every, bits, coalesce(c, 0) / size::double as share from asked left join cover using (uid, n, span)),
 found as (select uid, max(share) as share from shares group by uid),
-named as (select uid, label from places union select uid, label from shares where share >= {license.COVER}),
+named as (select uid, label from places union select uid, label from shares where share >= {license.COVER} and bits = every),
 every as (select uid, array_to_string(list_sort(list(label)), ',') as labels from named group by uid)
 select w.doc_id, len(ws)::bigint as n_words, coalesce(b.n, 0)::bigint as n_base, b.lo::bigint as first_word, b.hi::bigint as last_word, coalesce(b.labels, '') as base_labels,
   coalesce(e.labels, '') as labels, case when b.n > 0 then 1.0::double else coalesce(f.share, 0.0::double) end as score

@@ -3,10 +3,11 @@
 import re
 from collections import defaultdict
 
+import duckdb
 import pytest
 
 from lodestone.llm import license
-from lodestone.llm.queries import op5_license_scan
+from lodestone.llm.queries import op5_license_scan, oracle_sql
 from tests.conftest import DATA
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -83,10 +84,12 @@ def test_repeated_and_null_ids_and_empty_table(spark):
 
 CC = "This work is licensed under a Creative Commons Attribution{} 4.0 International License."
 GPL = "This work is licensed under the GNU {}General Public License, version {}."
-LONG = license.TEMPLATES[7][1]
+APACHE, LONG, BSD = (license.TEMPLATES[i][1] for i in (3, 7, 8))
 NOTICES = [
     (CC.format(""), ""), (CC.format("-ShareAlike"), ""), (CC.format("-NonCommercial"), "cc-by-nc"), (CC.format("-Non-Commercial"), "cc-by-nc"), (CC.format("-NonCommercial").replace("4.0", "3.0"), "cc-by-nc"),
     (GPL.format("", 2), ""), (GPL.format("", 3), "gpl-3"), (GPL.format("Lesser ", 3), ""), (GPL.format("Affero ", 3), ""),
+    (MIT, "mit"), (MIT.replace("deal in", "deal with"), ""), (APACHE, "apache-2"), (APACHE.replace("2 0", "1.1"), ""), (APACHE.replace("http www apache org licenses license", "https www mozilla org licenses license"), ""),
+    (BSD, "bsd"), (BSD + " 1. ... 2. ...", "bsd"),
     (LONG.replace("version 3", "version 2"), ""), (LONG.replace("gnu general", "gnu lesser general"), ""), (LONG.replace("redistribute it", "pass it on"), "gpl-3"),
 ]
 
@@ -95,4 +98,8 @@ def test_deciding_words(spark):
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(NOTICES)], "doc_id long, text string")
     rows = license.scan_licenses(df).collect()
     assert {r.doc_id: r.labels for r in rows} == {i: label for i, (_, label) in enumerate(NOTICES)}
-    assert all(r.score >= license.COVER for r in rows)
+    sql = f"create view documents as select * from (values {', '.join(f'({i}, $${t}$$)' for i, (t, _) in enumerate(NOTICES))}) v(doc_id, text)"
+    base = duckdb.connect()
+    base.execute(sql)
+    got = base.sql(f"select doc_id, labels, round(score, 9) from ({oracle_sql()['op5_license_scan']}) order by doc_id").fetchall()
+    assert got == [(r.doc_id, r.labels, round(r.score, 9)) for r in sorted(rows)]
