@@ -3,9 +3,10 @@
 One permutation of the shingle hashes gives two signature values, its minimum and its
 maximum over the set, so a signature of 192 values costs 96 evaluations per shingle. Six
 values (three permutations) make a band and 32 bands give the candidates: a pair of
-similarity 0.85 is missed with probability 3e-7, one of 0.80 with 6e-5 where sets are large. For
-4 of 5 shared shingles it is 4.2e-4, as minimum and maximum are never one shingle. Candidates are
-confirmed on the full shingle sets.
+similarity 0.85 is missed with probability 3e-7, one of 0.80 with 6e-5 where sets are large.
+Minimum and maximum are never one shingle, so small sets agree less often; those of at most
+``SMALL`` shingles get twice the bands, which leaves 2e-7 for 4 of 5 shared shingles.
+Candidates are confirmed on the full shingle sets.
 
 No group is ever expanded into all its pairs. Equal sets become one class. A bucket links
 its members to its smallest one; members that this leaves in other components are compared
@@ -28,21 +29,22 @@ from . import textkit as tk
 from .common import materialize
 from .components import connected_components
 
-K, BANDS, PERMUTATIONS = 5, 32, 3
+K, BANDS, PERMUTATIONS, SMALL = 5, 32, 3, 32
 _rng = np.random.default_rng(20240607)
-_A = (_rng.integers(0, 1 << 32, BANDS * PERMUTATIONS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
-_B = _rng.integers(0, 1 << 32, BANDS * PERMUTATIONS, dtype=np.uint64).astype(np.uint32)[:, None]
-_SALT = tk.mix(np.arange(1, BANDS + 1, dtype=np.uint64))
+_A = (_rng.integers(0, 1 << 32, 2 * BANDS * PERMUTATIONS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
+_B = _rng.integers(0, 1 << 32, 2 * BANDS * PERMUTATIONS, dtype=np.uint64).astype(np.uint32)[:, None]
+_SALT = tk.mix(np.arange(1, 2 * BANDS + 1, dtype=np.uint64))
 _CHUNK = 2048
 
 
 def signature(s: np.ndarray) -> np.ndarray:
     """The min and the max of every permutation over a non-empty set, 2 x (bands * 3)."""
     x = (s >> np.uint64(32)).astype(np.uint32)
+    n = BANDS * PERMUTATIONS * (2 if len(s) <= SMALL else 1)
     low = high = None
     for at in range(0, len(x), _CHUNK):
-        y = x[at : at + _CHUNK] * _A
-        y += _B
+        y = x[at : at + _CHUNK] * _A[:n]
+        y += _B[:n]
         lo, hi = y.min(axis=1), y.max(axis=1)
         low = lo if low is None else np.minimum(low, lo)
         high = hi if high is None else np.maximum(high, hi)
@@ -51,8 +53,9 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
     """One 64-bit key per band; the band's number is mixed in, so keys of bands differ."""
-    v = sig.reshape(2, BANDS, PERMUTATIONS).transpose(1, 0, 2).reshape(BANDS, -1).astype(np.uint64)
-    h = _SALT.copy()
+    bands = sig.shape[1] // PERMUTATIONS
+    v = sig.reshape(2, bands, PERMUTATIONS).transpose(1, 0, 2).reshape(bands, -1).astype(np.uint64)
+    h = _SALT[:bands].copy()
     for j in range(v.shape[1]):
         h = tk.mix((h ^ v[:, j]) * np.uint64(0x9E3779B97F4A7C15))
     return h.view(np.int64)
@@ -65,18 +68,12 @@ def _sets(batch: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
         yield tk.shingles(h[at[i] : at[i + 1]], k)
 
 
-def _parts(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
-
-
 def signatures(docs: DataFrame, k: int = K) -> DataFrame:
     """``docs(doc_id, text)`` to ``(doc_id, fa, fb, n, keys)``: a 128-bit fingerprint of the
     shingle set, its size and the band keys (empty for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _parts(batches):
+        for b in (part for whole in batches for part in tk.parts(whole)):
             fa, fb, n, keys = [], [], [], []
             for s in _sets(b, k):
                 n.append(len(s))
@@ -144,7 +141,7 @@ def _set_rows(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        for b in _parts(batches):
+        for b in (part for whole in batches for part in tk.parts(whole)):
             at = _bits(b.column("doc_id").to_numpy(), 64 * len(known))
             b = b.filter(pa.array((known[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1))
             if not b.num_rows:
@@ -185,7 +182,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _parts(batches):
+        for b in batches:
             keep = []
             for x, y in zip(b.column("sa"), b.column("sb"), strict=True):
                 p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)

@@ -109,6 +109,16 @@ def test_signature_is_the_min_and_max_of_each_permutation():
         assert (got[0, i], got[1, i]) == (y.min(), y.max())
 
 
+def test_small_sets_share_a_band():
+    rng = np.random.default_rng(8)
+    for _ in range(6000):
+        s = rng.integers(0, 1 << 64, 5, dtype=np.uint64)
+        a, b = (neardup.band_keys(neardup.signature(x)) for x in (s, s[:4]))
+        assert len(a) == len(b) == 2 * neardup.BANDS and (a == b).any()
+    edge = [len(neardup.band_keys(neardup.signature(rng.integers(0, 1 << 64, n, dtype=np.uint64)))) for n in (neardup.SMALL, neardup.SMALL + 1)]
+    assert edge == [2 * neardup.BANDS, neardup.BANDS]
+
+
 def test_signatures_estimate_similarity_without_bias():
     rng = np.random.default_rng(4)
     errors = []
