@@ -53,7 +53,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rollup = tokencounts.TokenRollup(spark, scratch_path(spark, "rollup"))
     for _ in range(2):
         rollup.commit("load", tokencounts.inserts(counts))
-    return rollup.totals("load")
+    return rollup.totals()
 
 
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,8 @@ def test_signed_batches(spark):
     assert rollup.commit("drop", tc.deletes(old.where("doc_id = 3")))
     for order in (("load", "revise", "drop"), ("drop", "load", "revise")):
         assert totals(rollup, *order) == {("a", "en", "v1"): (1, 5, 20), ("a", "en", "v2"): (1, 12, 40)}
-    assert totals(rollup, "load", "unknown") == totals(rollup, "load")
+    assert totals(rollup, "load", "unknown", "load") == totals(rollup, "load")
+    assert totals(rollup) == totals(rollup, "load", "revise", "drop") and rollup.batches() == ["drop", "load", "revise"]
     with pytest.raises(ValueError):
         rollup.commit("../x", tc.inserts(old))
 
@@ -53,6 +54,35 @@ def test_a_failed_batch_is_written_anew(spark):
     assert totals(rollup, "b") == {("a", "en", "v"): (8, 8, 8)}
 
 
+def test_compaction_keeps_totals_and_names(spark):
+    rows = spark.createDataFrame([(i, "ab"[i % 2], "en", "v", 3, 1) for i in range(8)], KIND)
+    rollup = tc.TokenRollup(spark, scratch_path(spark, "rollup"))
+    assert totals(rollup) == {} and rollup.batches() == []
+    for n in range(3):
+        assert rollup.commit(f"b{n}", tc.inserts(rows))
+    want = {("a", "en", "v"): (12, 36, 12), ("b", "en", "v"): (12, 36, 12)}
+    assert totals(rollup) == want and rollup.compact() and totals(rollup) == want
+    assert not rollup.commit("b1", tc.inserts(rows)) and rollup.commit("b3", tc.deletes(rows.where("source = 'a'")))
+    want["a", "en", "v"] = (8, 24, 8)
+    assert totals(rollup) == want and rollup.compact() and totals(rollup) == want
+    assert totals(rollup, "b0") == {("a", "en", "v"): (4, 12, 4), ("b", "en", "v"): (4, 12, 4)}
+
+
+def test_two_writers_of_one_batch(spark):
+    """The second to finish does not count, though both began before either was committed."""
+    rows = spark.createDataFrame([(1, "a", "en", "v", 3, 1)], KIND)
+    one, two = (tc.TokenRollup(spark, path) for path in [scratch_path(spark, "rollup")] * 2)
+    done = []
+    write = one._write
+    one._write = lambda df: (done.append(two.commit("b", tc.inserts(rows))), write(df))[1]
+    assert not one.commit("b", tc.inserts(rows)) and done == [True]
+    assert totals(one) == {("a", "en", "v"): (1, 3, 1)}
+    fs, at = one._at("marks", "c")
+    fs.create(at, False).close()  # a writer lost between creating and filling its marker
+    assert not one.committed("c") and totals(one) == {("a", "en", "v"): (1, 3, 1)}
+    assert two.commit("c", tc.inserts(rows)) and totals(one) == {("a", "en", "v"): (2, 6, 2)}
+
+
 def test_odd_rows_and_empty_table(spark):
     df = spark.createDataFrame([(None, None, None, None, "x"), (1, "", "s", "en", "y"), (1, "a b", "s", "en", "z")], "doc_id long, text string, source string, lang string, tokens string")
     rows = tc.count_tokens(df, tokenizer_path(), "v").collect()
