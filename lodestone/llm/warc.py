@@ -99,8 +99,8 @@ def write_warc(pages: DataFrame, path: str, key: str, least: int = 0, chunk: int
         line("Content-Length", block.cast("string")),
         F.lit("\r\n"),
     )
-    body = F.concat(F.when(first, HTTP).otherwise(""), F.col("data").cast("string"), F.lit(END))
-    rows.select(F.concat(head, body).alias("value")).write.option("lineSep", "\n").text(path)
+    body = F.concat(F.when(first, HTTP).otherwise(""), F.col("data").cast("string"))
+    rows.select(F.concat(head, body).alias("value")).write.option("lineSep", END).text(path)
 
 
 def read_segments(spark: SparkSession, path: str, key: str) -> DataFrame:

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import uuid
 from collections import defaultdict
+from pathlib import Path
 
 import pytest
 
@@ -72,3 +73,21 @@ def test_a_cut_record_is_an_error(spark, tmp_path):
 def test_empty_table_and_whole_table(spark):
     assert warc.warc_round_trip(spark.createDataFrame([], KIND)).count() == 0
     assert_same(spark, "op6", queries.op6_warc, queries.oracle_sql()["op6_warc"], DATA)
+
+
+def test_archives_follow_the_format(spark):
+    """A plain reader: header, block of the stated length, two line ends, next record."""
+    path, key = scratch_path(spark, "test"), uuid.uuid4().hex
+    warc.write_warc(spark.createDataFrame(ROWS, KIND).repartition(2), path, key, chunk=100)
+    seen = 0
+    for file in sorted(Path(path.removeprefix("file://")).glob("part-*")):
+        raw = file.read_bytes()
+        while raw:
+            head, _, rest = raw.partition(b"\r\n\r\n")
+            lines = head.decode().split("\r\n")
+            fields = dict(x.split(": ", 1) for x in lines[1:])
+            n = int(fields["Content-Length"])
+            assert lines[0] == "WARC/1.1" and rest[n : n + 4] == b"\r\n\r\n" and {"WARC-Type", "WARC-Record-ID", "WARC-Date"} <= fields.keys()
+            raw = rest[n + 4 :]
+            seen += fields["WARC-Type"] != "continuation"
+    assert seen == len(ROWS)
