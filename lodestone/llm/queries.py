@@ -226,9 +226,11 @@ with u as (
 ), l as (select doc_id as page_id, coalesce(max(quality = 0 or toxic = 1), false) as bad from labels where doc_id is not null group by doc_id),
 b as (select tokens, bad::int as bad from k join l using (page_id)),
 c as (select bad, list_filter(tokens, lambda x, i: (mask >> (i - 1)) & 1 = 1) as combo from (select *, unnest(range(1, (1 << len(tokens))::bigint)) as mask from b)),
+m as (select combo, sum(bad)::double as hits, count(*)::double as n from c group by combo),
+e as (select *, hits / n as p, {urlfilter.Z}::double * {urlfilter.Z}::double as zz from m),
 r as (
-  select combo from c group by combo having sum(bad) >= {urlfilter.SUPPORT}::double * (select count(*) from b) and sum(bad) / count(*)::double >= {urlfilter.CONFIDENCE}::double
-    and sum(bad) / count(*)::double / (select avg(bad) from b) >= {urlfilter.LIFT}::double
+  select combo from e where hits >= greatest({urlfilter.LEAST}, ceil({urlfilter.SUPPORT}::double * (select count(*) from b))) and p >= {urlfilter.CONFIDENCE}::double
+    and (p + zz / (2 * n) - {urlfilter.Z}::double * sqrt(p * (1 - p) / n + zz / (4 * n * n))) / (1 + zz / n) >= {urlfilter.LIFT}::double * (select avg(bad) from b)
 ), hit as (select uid, bool_or(list_has_all(tokens, combo)) as blocked from k cross join r group by uid),
 f as (
   select uid, h || p as rule, v, row_number() over (partition by uid order by length(h || p) desc) as rn from u join (values {rules}) w(h, p, v)

@@ -2,13 +2,18 @@
 
 Host rules are given; the longest that fits wins. For all other URLs Spark's FP-growth
 mines token combinations of labelled URLs together with a token for bad ones. Combinations
-that imply the bad token with enough support, confidence and lift become rules, those whose
+that imply the bad token with enough support and confidence become rules, those whose
 subset does as well are pruned, and a URL is blocked if its tokens hold a rule's. Rules are
 found by an inverted index from each rule's rarest token.
+
+The support is low, so that a single bad host becomes a rule in a large table too; what
+keeps chance out is the lower end of the confidence's interval (Wilson, 3 standard errors),
+which must exceed the share of bad URLs by the lift.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -25,7 +30,9 @@ RULES = (
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 )
-BAD, SUPPORT, CONFIDENCE, LIFT = "=bad", 0.005, 0.6, 1.2
+#: A rule needs ``LEAST`` bad URLs and a share of ``SUPPORT`` of all labelled ones. The share
+#: bounds the number of combinations, whatever the number of rows.
+BAD, SUPPORT, LEAST, CONFIDENCE, LIFT, Z = "=bad", 0.0005, 5, 0.6, 1.2, 3.0
 _URL = r"^[\s\S]*?://([^/?#]*)([^?#]*)"
 
 
@@ -73,7 +80,13 @@ def _tokens(urls: DataFrame, *carry: str) -> DataFrame:
     return urls.select("url", *carry).mapInArrow(run, ", ".join([*(f"{c} {kinds[c]}" for c in carry), "tokens array<string>"]))
 
 
-def mine_rules(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT) -> list[frozenset[str]]:
+def lower_end(hits: int, n: int) -> float:
+    """The lower end of Wilson's interval for hits of n."""
+    p = hits / n
+    return (p + Z * Z / (2 * n) - Z * math.sqrt(p * (1 - p) / n + Z * Z / (4 * n * n))) / (1 + Z * Z / n)
+
+
+def mine_rules(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT, least: int = LEAST) -> list[frozenset[str]]:
     """Token sets that imply a bad URL, from ``labelled(url, bad boolean)``.
 
     Their number is bounded by the combinations that reach the support, not by the rows."""
@@ -81,11 +94,17 @@ def mine_rules(labelled: DataFrame, support: float = SUPPORT, confidence: float
 
     baskets = _tokens(labelled, "bad").select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items"))
     baskets = materialize(baskets, "baskets")
-    if baskets.isEmpty():
+    n, bad = baskets.agg(F.count("*"), F.count(F.when(F.array_contains("items", BAD), 1))).first()
+    least = max(least, math.ceil(support * n))
+    if bad < least:
         return []
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
-    found = model.associationRules.where((F.element_at("consequent", 1) == BAD) & (F.col("lift") >= lift)).select("antecedent")
-    rules = sorted((frozenset(r[0]) for r in found.collect()), key=lambda r: (len(r), sorted(r)))
+    model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n, minConfidence=confidence).fit(baskets)
+    found = []
+    for r in model.associationRules.where(F.element_at("consequent", 1) == BAD).select("antecedent", "support", "confidence").toLocalIterator():
+        hits = round(r.support * n)
+        if lower_end(hits, round(hits / r.confidence)) >= lift * (bad / n):
+            found.append(r.antecedent)
+    rules = sorted(map(frozenset, found), key=lambda r: (len(r), sorted(r)))
     kept: list[frozenset[str]] = []
     for r in rules:
         if not any(k <= r for k in kept):

@@ -1,6 +1,7 @@
 """op3: parsing and rules against a plain version; mining on planted combinations."""
 
 import itertools
+import random
 from collections import Counter
 
 import duckdb
@@ -52,8 +53,9 @@ def test_whole_table_base(spark):
         assert rows[i].verdict == verdict if want else rows[i].verdict in ("allow", "block")
 
 
-def brute_rules(baskets, support, confidence, lift):
+def brute_rules(baskets, support, confidence, lift, least=urlfilter.LEAST):
     n = len(baskets)
+    support = max(support, least / n)
     bad = sum(b for _, b in baskets) / n
     counts, hits = Counter(), Counter()
     for tokens, b in baskets:
@@ -61,12 +63,12 @@ def brute_rules(baskets, support, confidence, lift):
             for c in itertools.combinations(tokens, size):
                 counts[c] += 1
                 hits[c] += b
-    found = [frozenset(c) for c in counts if hits[c] / n >= support and hits[c] / counts[c] >= confidence and hits[c] / counts[c] / bad >= lift]
+    found = [frozenset(c) for c in counts if hits[c] / n >= support and hits[c] / counts[c] >= confidence and urlfilter.lower_end(hits[c], counts[c]) >= lift * bad]
     return {r for r in found if not any(o < r for o in found)}
 
 
 def test_mined_rules_are_those_of_brute_force(spark):
-    rows = [(f"http://{h}.org/{p}/1?{q}=1", (p == "win" and q == "ref") or (h == "spam" and i % 4 > 0)) for i in range(8) for h in ("a", "b", "spam") for p in ("win", "news") for q in ("ref", "id")]
+    rows = [(f"http://{h}.org/{p}/1?{q}=1", (p == "win" and q == "ref") or (h == "spam" and i % 4 > 0)) for i in range(40) for h in ("a", "b", "spam") for p in ("win", "news") for q in ("ref", "id")]
     df = spark.createDataFrame(rows, "url string, bad boolean")
     got = set(urlfilter.mine_rules(df, 0.02, 0.7, 1.2))
     assert got and got == brute_rules([(urlfilter.url_tokens(u), b) for u, b in rows], 0.02, 0.7, 1.2)
@@ -76,6 +78,15 @@ def test_mined_rules_are_those_of_brute_force(spark):
         assert holds(tokens) == any(r <= set(tokens) for r in got)
 
 
+def test_one_bad_host_of_many_and_no_rules_from_chance(spark):
+    """A host with a thousandth of the labelled URLs becomes a rule; chance makes none."""
+    rnd = random.Random(3)
+    chance = [(f"http://h{i % 400}.org/{i % 7}/x{i % 11}", rnd.random() < 0.25) for i in range(20000)]
+    assert urlfilter.mine_rules(spark.createDataFrame(chance, "url string, bad boolean")) == []
+    bad = [("http://evil.org/6/x1", True)] * 20 + [("http://rare.org/6/x1", True)] * 4
+    assert urlfilter.mine_rules(spark.createDataFrame(chance + bad, "url string, bad boolean")) == [frozenset(["d:evil.org"])]
+
+
 def test_labels_block_and_odd_tables(spark):
     pages = spark.createDataFrame([(i, f"http://h{i % 2}.org/{'casino' if i % 2 else 'news'}/{i}") for i in range(60)] + [(None, None), (5, "http://h1.org/casino/5")], "page_id long, url string")
     labels = spark.createDataFrame([(i, 1 - i % 2, None) for i in range(40)] + [(None, 0, 1), (99, None, None)], "doc_id long, quality int, toxic int")
