@@ -29,6 +29,8 @@ ROLES = ("system", "user", "assistant", "other")
 START, SYSTEM, USER, ASSISTANT = range(4)
 RELABEL, MERGE, MERGE_OTHER, INSERT = 2, 1, 3, 4
 INF = 1 << 40
+#: Turns of a partition, at most, where the session's shuffle partitions would hold more.
+TURNS = 500_000
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 _OUT = "conv_id long, turn long, role string, new_role string, action string, inserted string, cost long, rendered string"
 
@@ -145,7 +147,7 @@ def format_chats(turns: DataFrame, partitions: int | None = None) -> DataFrame:
         sc.setCheckpointDir(shared_dir(spark))
     cols = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     order = ["conv_id", "turn", "role", "text"]
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-cols.count() // TURNS))
     cols = cols.withColumn("tie", F.monotonically_increasing_id())  # equal rows may lie on both sides of a cut
     cols = cols.repartitionByRange(n, *order, "tie").sortWithinPartitions(*order, "tie").drop("tie").checkpoint()
 
