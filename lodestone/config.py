@@ -43,6 +43,7 @@ class Graph:
     type_context_chars: int = 220
     alpha_core: float = 0.5
     alpha_betw: float = 0.5
+    betweenness_pivots: int | None = None  # sources of the estimate; None: all of them
 
 
 @dataclass(frozen=True)

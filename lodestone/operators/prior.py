@@ -3,7 +3,9 @@
 Core numbers come from the H-index iteration (Lü, Zhou, Zhang and Stanley 2016). Betweenness
 is Brandes' algorithm (2001): where the skeleton is small enough to be proven to fit a
 worker, each task walks from its share of the sources over a broadcast adjacency; beyond
-that bound blocks of sources are walked level by level with joins.
+that bound blocks of sources are walked level by level with joins. All nodes as sources cost
+nodes x edges; where that is too much, a bounded draw of sources gives an unbiased estimate
+(Brandes and Pich 2007) at a cost in proportion to the edges.
 """
 
 from __future__ import annotations
@@ -89,27 +91,34 @@ def _numbered(nodes: DataFrame) -> DataFrame:
     return parts.join(sizes, "part").select("id", (F.col("before") + F.col("row") - F.col("low")).alias("no"))
 
 
-def betweenness(skel: DataFrame, broadcast_edges: int = BROADCAST_EDGES) -> DataFrame:
-    """``(id, betweenness)``, exact, unweighted, without ends, divided by (n-1)(n-2).
+def betweenness(skel: DataFrame, broadcast_edges: int = BROADCAST_EDGES, pivots: int | None = None) -> DataFrame:
+    """``(id, betweenness)``, unweighted, without ends, divided by (n-1)(n-2).
 
-    A graph of two nodes or fewer has zero everywhere."""
+    Exact without ``pivots`` and for graphs of at most so many nodes; else that many sources,
+    drawn by a hash of their ids, stand for all. A graph of two nodes or fewer has zero
+    everywhere."""
     edges = materialize(skel, "skeleton")
     nodes = materialize(_numbered(edges.select(F.col("u").alias("id")).distinct()), "nodes")
     n, m = nodes.count(), edges.count()
-    scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 0.0
+    sources, drawn = nodes.select("no", F.col("no").alias("turn")), n
+    if pivots is not None and pivots < n:
+        rows = nodes.orderBy(F.xxhash64("id"), "id").limit(pivots).select("no").collect()  # at most pivots rows
+        drawn = len(rows)
+        sources = skel.sparkSession.createDataFrame([(r.no, i) for i, r in enumerate(rows)], "no long, turn long")
+    scale = n / max(drawn, 1) / ((n - 1) * (n - 2)) if n > 2 else 0.0
     named = lambda c, k: nodes.select(F.col("id").alias(c), F.col("no").alias(k))
     pairs = edges.join(named("u", "a"), "u").join(named("v", "b"), "v").select("a", "b")
-    sums = _local_sums(pairs, nodes, n) if m <= broadcast_edges else _joined_sums(materialize(pairs, "pairs"), nodes, n)
+    sums = _local_sums(pairs, sources, n, drawn) if m <= broadcast_edges else _joined_sums(materialize(pairs, "pairs"), sources, drawn)
     return nodes.join(sums, "no", "left").select("id", (F.coalesce("b", F.lit(0.0)) * scale).alias("betweenness"))
 
 
-def _local_sums(pairs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+def _local_sums(pairs: DataFrame, sources: DataFrame, n: int, drawn: int) -> DataFrame:
     """Each task walks from its sources; only called for a proven number of edges."""
     rows = pairs.toArrow()
     a, b = rows.column("a").to_numpy(), rows.column("b").to_numpy()
     order = np.lexsort((b, a))
     starts, ends = np.searchsorted(a[order], np.arange(n + 1)), b[order].astype(np.int32)
-    spark = nodes.sparkSession
+    spark = sources.sparkSession
     shared = spark.sparkContext.broadcast((starts, ends))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,16 +130,16 @@ def _local_sums(pairs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
         at = np.flatnonzero(total)
         yield pa.record_batch([pa.array(at), pa.array(total[at])], names=["no", "b"])
 
-    tasks = max(spark.sparkContext.defaultParallelism, n // 2000)
-    return nodes.select("no").repartition(tasks, "no").mapInArrow(run, "no long, b double").groupBy("no").agg(F.sum("b").alias("b"))
+    tasks = max(spark.sparkContext.defaultParallelism, drawn // 2000)
+    return sources.select("no").repartition(tasks, "no").mapInArrow(run, "no long, b double").groupBy("no").agg(F.sum("b").alias("b"))
 
 
-def _joined_sums(pairs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+def _joined_sums(pairs: DataFrame, sources: DataFrame, drawn: int) -> DataFrame:
     """Blocks of sources, forward for distances and path counts, backward for dependencies."""
-    spark = nodes.sparkSession
+    spark = sources.sparkSession
     out = spark.createDataFrame([], "no long, b double")
-    for at in range(0, n, SOURCES_PER_ROUND):
-        own = nodes.where((F.col("no") >= at) & (F.col("no") < at + SOURCES_PER_ROUND))
+    for at in range(0, drawn, SOURCES_PER_ROUND):
+        own = sources.where((F.col("turn") >= at) & (F.col("turn") < at + SOURCES_PER_ROUND))
         front = materialize(own.select(F.col("no").alias("s"), "no", F.lit(0).alias("d"), F.lit(1.0).alias("sigma")), "front")
         seen, levels = front, [front]
         while True:
@@ -162,9 +171,9 @@ def scaled(values: DataFrame, column: str, out: str) -> DataFrame:
     return values.crossJoin(ends).withColumn(out, minmax(F.col(column).cast("double"), F.col("lo"), F.col("hi"))).drop("lo", "hi")
 
 
-def structural_prior(skel: DataFrame, alpha_core: float = 0.5, alpha_betw: float = 0.5) -> DataFrame:
+def structural_prior(skel: DataFrame, alpha_core: float = 0.5, alpha_betw: float = 0.5, pivots: int | None = None) -> DataFrame:
     """``(id, core, betweenness, s_struct)``: the weighted sum of both, scaled."""
-    rows = materialize(core_numbers(skel).join(betweenness(skel), "id"), "prior")
+    rows = materialize(core_numbers(skel).join(betweenness(skel, pivots=pivots), "id"), "prior")
     rows = scaled(scaled(rows, "core", "c"), "betweenness", "b")
     return rows.select("id", "core", "betweenness", (F.col("c") * alpha_core + F.col("b") * alpha_betw).alias("s_struct"))
 

@@ -68,4 +68,4 @@ def graph_tables(chunks: DataFrame, cache: DataFrame | None = None, config: Grap
 
 def full_prior(edges: DataFrame, config: GraphConfig | None = None) -> DataFrame:
     config = config or GraphConfig()
-    return prior.structural_prior(prior.skeleton(edges), config.alpha_core, config.alpha_betw).select("id", F.round("s_struct", 9).alias("s_struct"))
+    return prior.structural_prior(prior.skeleton(edges), config.alpha_core, config.alpha_betw, config.betweenness_pivots).select("id", F.round("s_struct", 9).alias("s_struct"))

@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .config import Graph as GraphConfig
 from .functions import text as T
 from .operators import evidence, expand, extract, graph, index, ingest, intent, prior, rank, retrieve, walk
 from .oracle import clip, sql, strip
@@ -571,12 +572,12 @@ _BETW = {
 
 
 @query(f"select id, c::bigint as core from core{_ROUNDS - 1}", **_CORES)
-def core_number(spark, d):
+def core_number_benchmark(spark, d):
     return prior.core_numbers(_item_skeleton(spark, d))
 
 
 @query("select id, round(betweenness, 9) as betweenness from betw", **_BETW)
-def betweenness(spark, d):
+def betweenness_benchmark(spark, d):
     return prior.betweenness(_item_skeleton(spark, d)).select("id", F.round("betweenness", 9).alias("betweenness"))
 
 
@@ -587,25 +588,25 @@ def betweenness(spark, d):
     **_BETW,
     cb=f"select id, c::double as c, betweenness as b from core{_ROUNDS - 1} join betw using (id)",
 )
-def struct_prior(spark, d):
+def struct_prior_benchmark(spark, d):
     return prior.structural_prior(_item_skeleton(spark, d)).select("id", F.round("s_struct", 6).alias("s_struct"))
 
 
 @query()
-def core_number_documents(spark, d):
-    """Core numbers of the documents' own skeleton; SQL would have to guess the rounds."""
+def core_number(spark, d):
+    """Core numbers of the documents' skeleton; SQL would have to guess the rounds."""
     return prior.core_numbers(prior.skeleton(_graph(spark, d).edges))
 
 
 @query()
-def betweenness_documents(spark, d):
-    """Betweenness on the documents' own skeleton, where SQL cannot afford all pairs."""
+def betweenness(spark, d):
+    """Exact betweenness on the documents' skeleton, where SQL cannot afford all pairs."""
     return prior.betweenness(prior.skeleton(_graph(spark, d).edges)).select("id", F.round("betweenness", 9).alias("betweenness"))
 
 
 @query()
-def struct_prior_documents(spark, d):
-    """The exact prior on the documents' own skeleton; nothing of it is left out."""
+def struct_prior(spark, d):
+    """The exact prior on the documents' skeleton; nothing of it is left out."""
     return prior.structural_prior(prior.skeleton(_graph(spark, d).edges)).select("id", F.round("s_struct", 6).alias("s_struct"))
 
 
@@ -797,17 +798,22 @@ def json_first_object(spark, d):
     return rows.select("event_id", T.json_object("raw").alias("object"))
 
 
-def engine(spark: SparkSession, d: str, exact_prior: bool = True) -> Engine:
-    """An engine over the documents; the exact prior has the cost of betweenness."""
+#: Sources of the prior's betweenness in ``rag_answers``: its cost is in proportion to the edges.
+PIVOTS = 4096
+
+
+def engine(spark: SparkSession, d: str, pivots: int | None = None) -> Engine:
+    """An engine over the documents; without pivots the prior costs nodes x edges."""
     docs, g = tables.documents(spark, d), _graph(spark, d)
-    p = _once(spark, d, "exact prior", lambda: materialize(full_prior(g.edges), "prior")) if exact_prior else _prior(spark, d)
+    p = _once(spark, d, f"prior {pivots}", lambda: materialize(full_prior(g.edges, GraphConfig(betweenness_pivots=pivots)), "prior"))
     return Engine(build_index(docs, _tables(spark, d).chunks, tables.vectors(spark, d)), g, p)
 
 
 @query()
 def rag_answers(spark, d):
-    """All questions through the whole plan, with degrees as the prior."""
-    return engine(spark, d, exact_prior=False).query(tables.questions(spark, d), _vectors(spark, d))
+    """All questions through the whole plan, with core numbers and betweenness as the prior;
+    the betweenness is exact on graphs of at most ``PIVOTS`` nodes, else estimated."""
+    return engine(spark, d, PIVOTS).query(tables.questions(spark, d), _vectors(spark, d))
 
 
 def entry(spark: SparkSession, d: str) -> DataFrame:

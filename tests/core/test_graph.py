@@ -104,6 +104,20 @@ def test_prior_against_sequential_algorithms(spark, seed, n, m):
     assert all(0 <= s <= 1 for s in scores)
 
 
+def test_betweenness_from_drawn_sources(spark):
+    rnd, adj = random.Random(4), defaultdict(set)
+    for _ in range(160):
+        u, v = rnd.sample([f"n{i}" for i in range(60)], 2)
+        adj[u].add(v), adj[v].add(u)
+    skel = spark.createDataFrame([(u, v) for u, near in adj.items() for v in near], "u string, v string")
+    want = brandes(adj)
+    got = lambda *a: {r.id: r.betweenness for r in prior.betweenness(skel, *a).collect()}
+    assert all(abs(x - want[v]) < 1e-9 for v, x in got(1000, len(adj)).items())
+    local, joined = got(1000, 30), got(0, 30)
+    assert local.keys() == joined.keys() == want.keys() and all(abs(x - joined[v]) < 1e-9 for v, x in local.items())
+    assert abs(sum(local.values()) / sum(want.values()) - 1) < 0.2 and local != want
+
+
 def test_constant_values_scale_to_zero(spark):
     df = spark.createDataFrame([("a", 2.0), ("b", 2.0)], "id string, v double")
     assert {r.x for r in prior.scaled(df, "v", "x").collect()} == {0.0}
