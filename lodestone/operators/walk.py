@@ -42,3 +42,12 @@ def induced(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     left = nodes.select("qid", F.col("id").alias("src")).distinct()
     right = nodes.select("qid", F.col("id").alias("dst")).distinct()
     return edges.join(left, "src").join(right, ["qid", "dst"], "left_semi").select("qid", "src", "dst", "edge_type")
+
+
+def subgraph_sizes(seeds: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(qid, n_seed_chunks, n_q_nodes, n_q_edges)`` of the seeds and of all ``nodes(qid, id)``
+    of each query's subgraph."""
+    count = lambda df, name: df.groupBy("qid").agg(F.count("*").alias(name))
+    nodes = nodes.select("qid", "id").distinct()
+    rows = count(seeds, "n_seed_chunks").join(count(nodes, "n_q_nodes"), "qid").join(count(induced(nodes, edges), "n_q_edges"), "qid", "left")
+    return rows.withColumn("n_q_edges", F.coalesce("n_q_edges", F.lit(0)))

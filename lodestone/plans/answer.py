@@ -67,8 +67,8 @@ class Engine:
         both = retrieve.merge_passes(first, second).select("qid", "doc_id", "pos")
         return one.select("qid", "doc_id", F.col("rk").alias("pos")).unionByName(both)
 
-    def select(self, questions: DataFrame, vectors: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Questions with intent and status, final propositions, and selected evidence."""
+    def select(self, questions: DataFrame, vectors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """Questions with intent, status and the sizes on their way, and selected evidence."""
         r, e = self.config.ranking, self.config.evidence
         said = materialize(questions.select("qid", strip(F.coalesce("text", F.lit(""))).alias("text")), "said")
         live = materialize(self.classify(said.where("text <> ''")), "asked")
@@ -92,37 +92,62 @@ class Engine:
         found = evidence.normalized(found, {"proposition": e.max_len_prop, "chunk": e.max_len_chunk, "entity": e.max_len_ent, "type": e.max_len_type})
         chosen = materialize(evidence.select_evidence(found, {"proposition": e.k_p, "entity": e.k_e, "chunk": e.k_c, "type": e.k_z}), "chosen")
         n = lambda df, c: df.groupBy("qid").agg(F.count("*").alias(c))
-        state = asked.join(n(seeds, "n_seeds"), "qid", "left").join(n(first, "n_props"), "qid", "left")
-        status = F.when(F.col("text") == "", "blank query").when(F.col("n_seeds").isNull(), "no seed chunk").when(F.col("n_props").isNull(), "no proposition").otherwise("ok")
-        return state.select("qid", "text", "topology", "semantic", status.alias("status")), props, chosen
+        every = seeds.unionByName(first).unionByName(ents).unionByName(reached)
+        sizes = walk.subgraph_sizes(seeds, every, edges).join(n(first, "n_first"), "qid", "left").join(n(anchored, "n_anchor_props"), "qid", "left").join(n(props, "n_final_props"), "qid", "left")
+        state = asked.join(materialize(sizes, "sizes"), "qid", "left")
+        status = F.when(F.col("text") == "", "blank query").when(F.col("n_seed_chunks").isNull(), "no seed chunk").when(F.col("n_first").isNull(), "no proposition").otherwise("ok")
+        counts = (F.coalesce(c, F.lit(0)).alias(c) for c in ("n_seed_chunks", "n_q_nodes", "n_q_edges", "n_anchor_props", "n_final_props"))
+        return state.select("qid", "text", "topology", "semantic", status.alias("status"), *counts), chosen
 
     def query(self, questions: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
-        """``(qid, topology, semantic, status, answer, prompt, n_proposition, ...)`` for every
-        question. What stops a question (a blank text, no seed chunk, no proposition) is its
-        status and stops no other."""
-        asked, _, chosen = self.select(questions, vectors)
+        """``(qid, topology, semantic, status, answer, prompt, supporting_nodes, metadata,
+        n_proposition, ...)`` for every question. What stops a question (a blank text, no seed
+        chunk, no proposition) is its status and stops no other."""
+        asked, chosen = self.select(questions, vectors)
         prompts = evidence.prompts(asked.where("status = 'ok'"), chosen)
         if self.answer:
             prompts = materialize(prompts, "prompts")
             answers = self.answer(prompts)
         else:
             answers = evidence.extractive_answers(chosen)
-        out = asked.join(answers, "qid", "left").join(prompts, "qid", "left").join(evidence.metadata(chosen), "qid", "left")
-        return out.select("qid", "topology", "semantic", "status", "answer", "prompt", *(F.coalesce(f"n_{k}", F.lit(0)).alias(f"n_{k}") for k in ("proposition", "entity", "chunk", "type")))
+        out = asked.join(answers, "qid", "left").join(prompts, "qid", "left").join(evidence.metadata(chosen), "qid", "left").join(evidence.supporting_nodes(chosen), "qid", "left")
+        weights = (F.lit(self.config.ranking.gamma_sem).alias("gamma_sem"), F.lit(self.config.ranking.beta_struct).alias("beta_struct"))
+        metadata = F.struct("n_seed_chunks", "n_q_nodes", "n_q_edges", "n_anchor_props", "n_final_props", *weights).alias("metadata")
+        return out.select("qid", "topology", "semantic", "status", "answer", "prompt", "supporting_nodes", metadata, *(F.coalesce(f"n_{k}", F.lit(0)).alias(f"n_{k}") for k in ("proposition", "entity", "chunk", "type")))
 
     def save(self, path: str) -> None:
-        """Every table under ``path``: postings clustered by term and edges by type, so that
-        a later filter on these skips files and row groups."""
-        tables = {"chunks": self.index.chunks, "nodes": self.graph.nodes, "prior": self.prior, "dense": self.index.dense}
-        for name, df in tables.items():
-            if df is not None:
-                df.write.mode("overwrite").parquet(f"{path}/{name}")
-        self.index.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-        self.graph.edges.repartition("edge_type", F.pmod(F.xxhash64("src"), F.lit(32))).write.mode("overwrite").partitionBy("edge_type").parquet(f"{path}/edges")
-
-
-def load_engine(spark: SparkSession, path: str, config: Config | None = None) -> Engine:
-    """An engine that was saved; a table that is missing is an error."""
-    need = lambda name: load_required(spark, f"{path}/{name}")
-    dense = need("dense") if path_exists(spark, f"{path}/dense/_SUCCESS") else None
-    return Engine(Index(need("chunks"), need("postings"), dense), Graph(need("nodes"), need("edges")), need("prior"), config or Config())
+        """Every table under ``path``."""
+        save_index(self.index, path)
+        save_graph(self.graph, self.prior, path)
+
+
+def save_index(index: Index, path: str) -> None:
+    """Chunks, vectors and postings; these are clustered by term, so that a later filter on it
+    skips files and row groups, and come last, so that their marker stands for all."""
+    for name, df in (("chunks", index.chunks), ("dense", index.dense)):
+        if df is not None:
+            df.write.mode("overwrite").parquet(f"{path}/{name}")
+    index.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+
+
+def save_graph(graph: Graph, prior: DataFrame, path: str) -> None:
+    """Nodes, the prior and, last, the edges in a folder per type."""
+    graph.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
+    prior.write.mode("overwrite").parquet(f"{path}/prior")
+    graph.edges.repartition("edge_type", F.pmod(F.xxhash64("src"), F.lit(32))).write.mode("overwrite").partitionBy("edge_type").parquet(f"{path}/edges")
+
+
+def load_index(spark: SparkSession, path: str) -> Index:
+    """An index that was saved; a table that is missing is an error."""
+    dense = load_required(spark, f"{path}/dense") if path_exists(spark, f"{path}/dense/_SUCCESS") else None
+    return Index(load_required(spark, f"{path}/chunks"), load_required(spark, f"{path}/postings"), dense)
+
+
+def load_graph(spark: SparkSession, path: str) -> tuple[Graph, DataFrame]:
+    """A graph that was saved, and its prior."""
+    return Graph(load_required(spark, f"{path}/nodes"), load_required(spark, f"{path}/edges")), load_required(spark, f"{path}/prior")
+
+
+def load_engine(spark: SparkSession, path: str, config: Config | None = None, graph_path: str | None = None) -> Engine:
+    """An engine that was saved, its graph in the same folder or in another."""
+    return Engine(load_index(spark, path), *load_graph(spark, graph_path or path), config or Config())

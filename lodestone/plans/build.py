@@ -59,7 +59,7 @@ def graph_tables(chunks: DataFrame, cache: DataFrame | None = None, config: Grap
     texts = store(graph.proposition_texts(bound, config.texts_per_proposition), "texts")
     links = store(graph.proposition_links(bound, texts), "links")
     pairs = store(graph.asserted(links, bound), "pairs")
-    ents = graph.entity_nodes(extracted.select("chunk_id", "doc_id", "ord", F.col("text").alias("chunk_text"), F.posexplode("entities").alias("pos", "entity")))
+    ents = graph.entity_nodes(extracted.select("chunk_id", "doc_id", "ord", F.substring("text", 1, config.type_context_chars).alias("chunk_text"), F.posexplode("entities").alias("pos", "entity")))
     if cache is None:
         cache = chunks.sparkSession.createDataFrame([], "canonical string, label string")
     typed = store(graph.type_entities(ents, cache, config.entity_type_labels, config.type_context_chars), "typed")

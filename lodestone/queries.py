@@ -786,9 +786,28 @@ def answer_extractive(spark, d):
     return evidence.extractive_answers(_path(spark, d)["chosen"])
 
 
-@query("select qid, count(*) filter (node_type = 'proposition')::bigint as n_proposition, count(*) filter (node_type = 'entity')::bigint as n_entity, count(*) filter (node_type = 'chunk')::bigint as n_chunk, count(*) filter (node_type = 'type')::bigint as n_type from chosen group by qid")
+@query(
+    """select s.qid, n_seed_chunks, n_q_nodes, coalesce(n_q_edges, 0)::bigint as n_q_edges, coalesce(n_anchor_props, 0)::bigint as n_anchor_props, coalesce(n_final_props, 0)::bigint as n_final_props,
+    coalesce(n_proposition, 0)::bigint as n_proposition, coalesce(n_entity, 0)::bigint as n_entity, coalesce(n_chunk, 0)::bigint as n_chunk, coalesce(n_type, 0)::bigint as n_type
+    from (select qid, count(*)::bigint as n_seed_chunks from seeds group by qid) s join (select qid, count(*)::bigint as n_q_nodes from qn group by qid) n using (qid)
+    left join (select a.qid, count(*) as n_q_edges from qn a join edges e on e.src = a.id join qn b on b.qid = a.qid and b.id = e.dst group by a.qid) e using (qid)
+    left join (select qid, count(*) as n_anchor_props from anch group by qid) a using (qid) left join (select qid, count(*) as n_final_props from props group by qid) p using (qid)
+    left join (select qid, count(*) filter (node_type = 'proposition') as n_proposition, count(*) filter (node_type = 'entity') as n_entity, count(*) filter (node_type = 'chunk') as n_chunk, count(*) filter (node_type = 'type') as n_type from chosen group by qid) c using (qid)""",
+    qn="select qid, id from seeds union select qid, id from first union select qid, id from ents1 union select qid, id from reached",
+)
 def query_metadata(spark, d):
-    return evidence.metadata(_path(spark, d)["chosen"])
+    x = _path(spark, d)
+    nodes = x["seeds"].unionByName(x["first"]).unionByName(x["ents"]).unionByName(x["reached"])
+    rows = walk.subgraph_sizes(x["seeds"], nodes, _graph(spark, d).edges)
+    for name, df in (("n_anchor_props", x["anchors"]), ("n_final_props", x["props"])):
+        rows = rows.join(df.groupBy("qid").agg(F.count("*").alias(name)), "qid", "left")
+    return rows.join(evidence.metadata(x["chosen"]), "qid", "left").na.fill(0)
+
+
+@query("select qid, node_type, rk, id, text, score from chosen")
+def supporting_nodes(spark, d):
+    rows = evidence.supporting_nodes(_path(spark, d)["chosen"])
+    return rows.select("qid", F.explode("supporting_nodes").alias("n")).select("qid", "n.node_type", "n.rk", "n.id", "n.text", "n.score")
 
 
 @query()

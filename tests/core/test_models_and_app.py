@@ -73,8 +73,22 @@ def test_command_line_run(spark, tmp_path):
     args = app.parser().parse_args(["--qa", f"{tmp_path}/qa.json", "--num-questions", "2", "--engine", f"file://{tmp_path}/e", "--output", f"file://{tmp_path}/out", "--query", "Where was Robert"])
     row = app.run(spark, args).first()
     assert row.status == "ok" and row.question == "Where was Robert" and row.n_chunk > 0
+    assert row.metadata.n_seed_chunks > 0 and row.metadata.n_q_nodes > row.metadata.n_seed_chunks and row.metadata.gamma_sem == 0.5
+    assert {n.node_type for n in row.supporting_nodes} >= {"chunk", "proposition", "entity"}
+    assert row.run_context.selected_qa_ids == ["q0", "q1"] and row.run_context.query == "Where was Robert"
     args.query = None
     assert app.run(spark, args).first().question == qa[0]["question"]
+    args.query, args.use_first_question_query = "Where was Robert", True
+    args.graph_output, args.type_cache, args.rebuild_index = f"file://{tmp_path}/g", f"file://{tmp_path}/types", True
+    assert app.run(spark, args).first().question == qa[0]["question"]
+    assert (tmp_path / "g" / "edges").exists() and not (tmp_path / "g" / "postings").exists()
+    types = {r.canonical: r.label for r in app.readers.read_type_cache(spark, args.type_cache).collect()}
+    assert types.keys() >= {"robert", "paris", "berlin"}
+    app.readers.write_type_cache(spark.createDataFrame([("robert", "LOCATION"), ("else", "PERSON")], "canonical string, label string"), args.type_cache)
+    args.rebuild_graph = True
+    assert app.run(spark, args).first().status == "ok"
+    again = {r.canonical: r.label for r in app.readers.read_type_cache(spark, args.type_cache).collect()}
+    assert again == types | {"robert": "LOCATION", "else": "PERSON"}
     args.num_questions = 0
     with pytest.raises(ValueError):
         app.run(spark, args)
