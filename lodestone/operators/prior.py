@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vector import minmax
-from ..sources.store import materialize
+from ..sources.store import discard, materialize, stored_as
 
 #: Directed edges up to which the adjacency is collected and broadcast: 64 MB at most.
 BROADCAST_EDGES = 4_000_000
@@ -43,14 +43,17 @@ def core_numbers(skel: DataFrame) -> DataFrame:
     to the shared folder; the loop stops when no value changes.
     """
     edges = materialize(skel, "skeleton")
-    values = materialize(degrees(edges).selectExpr("id", "degree as core"), "core")
+    table = values = materialize(degrees(edges).selectExpr("id", "degree as core"), "core")
     while True:
         near = edges.join(values.withColumnRenamed("id", "v"), "v").groupBy("u", "core").agg(F.count("*").alias("n"))
         more = F.sum("n").over(Window.partitionBy("u").orderBy(F.desc("core")))
         h = near.withColumn("h", F.least("core", more)).groupBy(F.col("u").alias("id")).agg(F.max("h").alias("h"))
         fresh = materialize(values.join(h, "id").selectExpr("id", "core as old", "least(core, h) as core"), "core")
-        values = fresh.select("id", "core")
+        values = stored_as(fresh.select("id", "core"), fresh)
+        discard(table)
+        table = fresh
         if fresh.where("old <> core").isEmpty():
+            discard(edges)
             return values
 
 
@@ -137,7 +140,7 @@ def _local_sums(pairs: DataFrame, sources: DataFrame, n: int, drawn: int) -> Dat
 def _joined_sums(pairs: DataFrame, sources: DataFrame, drawn: int) -> DataFrame:
     """Blocks of sources, forward for distances and path counts, backward for dependencies."""
     spark = sources.sparkSession
-    out = spark.createDataFrame([], "no long, b double")
+    out = table = spark.createDataFrame([], "no long, b double")
     for at in range(0, drawn, SOURCES_PER_ROUND):
         own = sources.where((F.col("turn") >= at) & (F.col("turn") < at + SOURCES_PER_ROUND))
         front = materialize(own.select(F.col("no").alias("s"), "no", F.lit(0).alias("d"), F.lit(1.0).alias("sigma")), "front")
@@ -158,10 +161,12 @@ def _joined_sums(pairs: DataFrame, sources: DataFrame, drawn: int) -> DataFrame:
             near = lower.select("s", F.col("no").alias("a"), F.col("sigma").alias("sa"))
             got = far.join(pairs, "b").join(near, ["s", "a"]).groupBy("s", "a").agg(F.sum(F.col("sa") / F.col("sb") * (1 + F.col("db"))).alias("db"))
             delta = materialize(got.select("s", F.col("a").alias("b"), "db"), "delta")
-            parts.append(delta.where("s <> b"))
+            parts.append(delta)
         for p in parts:
-            out = out.unionByName(p.select(F.col("b").alias("no"), F.col("db").alias("b")))
-        out = materialize(out.groupBy("no").agg(F.sum("b").alias("b")), "sums")
+            out = out.unionByName(p.where("s <> b").select(F.col("b").alias("no"), F.col("db").alias("b")))
+        total = materialize(out.groupBy("no").agg(F.sum("b").alias("b")), "sums")
+        discard(table, *levels, *parts)
+        out = table = total
     return out
 
 

@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_own: list[tuple[SparkSession, str]] = []
+_own: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,7 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, tag: str) -> str:
     """A new path in the shared folder, removed when the driver's Python ends."""
     path = f"{shared_dir(spark)}/lodestone-{tag}-{uuid.uuid4().hex}"
-    _own.append((spark, path))
+    _own[path] = spark
     return path
 
 
@@ -49,7 +49,7 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 @atexit.register
 def _clean() -> None:
-    for spark, path in _own:
+    for path, spark in _own.items():
         try:
             remove_path(spark, path)
         except Exception:  # the JVM may be gone
@@ -62,7 +62,24 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def stored_as(df: DataFrame, table: DataFrame) -> DataFrame:
+    """``df``, which only reads ``table``, is discarded by discarding that."""
+    df._stored_at = table._stored_at
+    return df
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``materialize`` wrote, once nothing reads them any more; those that
+    it did not write stay."""
+    for t in tables:
+        path = t.__dict__.get("_stored_at")
+        if path and _own.pop(path, None):
+            remove_path(t.sparkSession, path)
 
 
 def load_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame], rebuild: bool = False, sort_by: str | None = None) -> DataFrame:

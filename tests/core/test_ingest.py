@@ -105,3 +105,14 @@ def test_keep_first_drops_blank_keys(spark):
     df = spark.createDataFrame([("a", 2), ("a", 1), ("", 0), (None, 0)], "k string, o long")
     assert [tuple(r) for r in ingest.keep_first(df, "k", "o").collect()] == [("a", 1)]
     assert ingest.keep_first(df.withColumn("w", F.col("o")), "k", "o", within="w").count() == 2
+
+
+def test_discarded_tables_are_gone_and_others_stay(spark):
+    from pathlib import Path
+
+    from lodestone.sources.store import discard, materialize, stored_as
+
+    one, two = (materialize(spark.range(3), "t") for _ in range(2))
+    at = [Path(t._stored_at.removeprefix("file://")) for t in (one, two)]
+    discard(spark.range(2), stored_as(one.select("id"), one), one)
+    assert not at[0].exists() and at[1].exists() and two.count() == 3
