@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..sources.store import materialize, read_table, remove_path, scratch_path, shared_dir
+from ..sources.store import discard, materialize, read_table, remove_path, scratch_path, shared_dir, stored_as
 
-__all__ = ["lower_ascii", "materialize", "read_table", "remove_path", "scratch_path", "shared_dir"]
+__all__ = ["discard", "lower_ascii", "materialize", "read_table", "remove_path", "scratch_path", "shared_dir", "stored_as"]
 
 
 def lower_ascii(c: Column | str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize, stored_as
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -20,7 +20,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     both = materialize(
         edges.selectExpr("a as u", "b as v").unionByName(edges.selectExpr("b as u", "a as v")).distinct(), "edges"
     )
-    labels = materialize(both.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("m")).selectExpr("id", "least(id, m) as comp"), "labels")
+    table = labels = materialize(both.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("m")).selectExpr("id", "least(id, m) as comp"), "labels")
     while True:
         near = (
             both.join(labels.withColumnRenamed("id", "v"), "v").groupBy("u").agg(F.min("comp").alias("near"))
@@ -30,6 +30,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         )
         upper = hooked.selectExpr("id as comp", "comp as above")
         jumped = materialize(hooked.join(upper, "comp").selectExpr("id", "old", "above as comp"), "jump")
-        labels = jumped.select("id", "comp")
+        labels = stored_as(jumped.select("id", "comp"), jumped)
+        discard(table, hooked)
+        table = jumped
         if jumped.where("old <> comp").isEmpty():
+            discard(both)
             return labels

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import materialize
+from .common import discard, materialize
 from .components import connected_components
 
 K, BANDS, PERMUTATIONS, SMALL = 5, 32, 3, 32
@@ -171,7 +171,9 @@ def _possible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     pairs = materialize(pairs.distinct(), "pairs")
     side = lambda c: sets.select(F.col("id").alias(c), F.col("n").alias(f"{c}n"), *(F.col(m).alias(f"{c}{m}") for m in PARITY))
     found = pairs.join(side("a"), "a").join(side("b"), "b").where(_close(num, den, "a", "b")).select("a", "b")
-    return materialize(found, "possible")
+    found = materialize(found, "possible")
+    discard(pairs)
+    return found
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -212,52 +214,59 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, k: int = K)
     table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    made: list[DataFrame] = []  # what the result does not read
+
+    def store(df: DataFrame, tag: str) -> DataFrame:
+        made.append(materialize(df, tag))
+        return made[-1]
+
     sig = materialize(signatures(docs, k), "sig")
     classes = (
         sig.where("n > 0 and doc_id is not null").groupBy("fa", "fb").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     )
-    classes = materialize(classes, "classes")
+    classes = store(classes, "classes")
     rows = classes.select(F.explode("keys").alias("key"), "id", "n")
     hubs = rows.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("id", "n")).alias("h")).where("c > 1")
-    hubs = materialize(hubs.selectExpr("key", "h.id as hub", "h.n as hub_n"), "hubs")
-    members = materialize(rows.join(hubs, "key"), "members")
+    hubs = store(hubs.selectExpr("key", "h.id as hub", "h.n as hub_n"), "hubs")
+    members = store(rows.join(hubs, "key"), "members")
     fits = lambda x, y: F.least(x, y) * den >= F.greatest(x, y) * num
     pairs = members.where((F.col("id") != F.col("hub")) & fits(F.col("n"), F.col("hub_n"))).selectExpr("id as a", "hub as b")
     wanted = members.select(F.col("id").alias("doc_id")).distinct()
-    sets = materialize(_set_rows(docs, wanted, k), "sets")
-    links = materialize(_confirm(_possible(pairs, sets, num, den), sets, num, den), "links")
+    sets = store(_set_rows(docs, wanted, k), "sets")
+    links = store(_confirm(_possible(pairs, sets, num, den), sets, num, den), "links")
     labels = connected_components(links)
     for last in (False, True):
         here = members.select("key", "id", "n").join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        here = materialize(here, "here")
+        here = store(here, "here")
         parts = here.groupBy("key", "comp").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("id", "key").alias("h"), "id", "n")).alias("other"))
         apart = parts.groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("c", "comp", "other")).alias("top")).where("comps > 1")
-        apart = materialize(apart.selectExpr("key", "top.comp as top", "top.other.id as other", "top.other.n as other_n"), "apart")
+        apart = store(apart.selectExpr("key", "top.comp as top", "top.other.id as other", "top.other.n as other_n"), "apart")
         if apart.isEmpty():
             break
-        rest = materialize(here.join(apart, "key").where("comp <> top"), "rest")
+        rest = store(here.join(apart, "key").where("comp <> top"), "rest")
         if last:
             marks = sets.select("id", *PARITY).dropDuplicates(["id"])
             some = here.join(apart.select("key"), "key", "left_semi")
-            right = materialize(some.join(marks, "id"), "right").selectExpr("key", "id as b", "n as bn", "comp as bcomp", *(f"{m} as b{m}" for m in PARITY))
-            left = materialize(rest.select("key", "id", "n", "comp").join(marks, "id"), "left")
+            right = store(some.join(marks, "id"), "right").selectExpr("key", "id as b", "n as bn", "comp as bcomp", *(f"{m} as b{m}" for m in PARITY))
+            left = store(rest.select("key", "id", "n", "comp").join(marks, "id"), "left")
             rows = left.select("key", "comp", F.col("id").alias("a"), F.col("n").alias("an"), *(F.col(m).alias(f"a{m}") for m in PARITY)).join(right, "key")
             found = rows.where((F.col("comp") != F.col("bcomp")) & _close(num, den, "a", "b")).selectExpr("greatest(a, b) as a", "least(a, b) as b")
-            found = materialize(found.distinct(), "found")
+            found = store(found.distinct(), "found")
         else:
             found = _possible(rest.where(fits(F.col("n"), F.col("other_n"))).selectExpr("id as a", "other as b"), sets, num, den)
-        fresh = materialize(_confirm(found, sets, num, den), "links")
+        fresh = store(_confirm(found, sets, num, den), "links")
         if fresh.isEmpty():
             continue
         up = lambda c: labels.selectExpr(f"id as {c}", f"comp as {c}c")
         lifted = fresh.join(up("a"), "a", "left").join(up("b"), "b", "left").selectExpr("a as id_a", "b as id_b", "coalesce(ac, a) as a", "coalesce(bc, b) as b")
-        lifted = materialize(lifted, "lifted")
+        lifted = store(lifted, "lifted")
         roots = connected_components(lifted.select("a", "b"))
         every = labels.unionByName(lifted.selectExpr("id_a as id", "a as comp")).unionByName(lifted.selectExpr("id_b as id", "b as comp")).distinct()
         roots = roots.selectExpr("id as comp", "comp as root")
-        labels = materialize(every.join(roots, "comp", "left").selectExpr("id", "coalesce(root, comp) as comp"), "labels")
+        labels = store(every.join(roots, "comp", "left").selectExpr("id", "coalesce(root, comp) as comp"), "labels")
     final = classes.select("fa", "fb", "id").join(labels, "id", "left").selectExpr("fa", "fb", "coalesce(comp, id) as comp")
     final = materialize(final, "final")
+    discard(*made)
     with_set = sig.where("n > 0 and doc_id is not null").select("doc_id", "n", "fa", "fb").join(final, ["fa", "fb"])
     bare = sig.where("n = 0 or doc_id is null").selectExpr("doc_id", "n", "doc_id as comp")
     return with_set.select("doc_id", "n", "comp").unionByName(bare).selectExpr(
