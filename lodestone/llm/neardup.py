@@ -8,21 +8,21 @@ Minimum and maximum are never one shingle, so small sets agree less often; those
 ``SMALL`` shingles get twice the bands, which leaves 2e-7 for 4 of 5 shared shingles.
 Candidates are confirmed on the full shingle sets.
 
-No group is ever expanded into all its pairs. Equal sets become one class. A bucket links
+No bucket is ever expanded into all its pairs. Equal sets become one class. A bucket links
 its members to its smallest one; members that this leaves in other components are compared
-with one more member per bucket, and only what is then still apart is compared with the
-members of other components. Pairs whose sizes or 1024-bit parities rule the similarity out
-are dropped before their sets are fetched. So every pair that shares a band is either confirmed, refuted or already
-inside one component.
+with one more member per bucket. The texts of buckets that are then still apart go through
+an exact similarity join on their rarest shingles. Pairs whose sizes or 1024-bit parities
+rule the similarity out are dropped before their sets are fetched. So every pair that shares
+a band is either confirmed, refuted or already inside one component.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit as tk
@@ -201,6 +201,39 @@ def _confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def _rare_pairs(involved: DataFrame, sets: DataFrame, num: int, den: int, store: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """Pairs ``(a, b)`` of ``involved(id, comp)`` that are in different components and share
+    one of their rarest shingles.
+
+    A set of n shingles shares at least ceil(n * num / den) of them with one that is similar
+    enough. Hence if each set's shingles are taken in one order for all, rarest first, its
+    first n - ceil(n * num / den) + 1 hold a shared one (a prefix filter). A passage that
+    very many texts hold is in no prefix of those that have enough else, so no pairs are made
+    of it, whatever bucket the texts meet in.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (part for whole in batches for part in tk.parts(whole, "s")):
+            own = [np.frombuffer(s.as_buffer(), np.int64) for s in b.column("s")]
+            yield pa.record_batch([pa.array(np.concatenate(own)), pa.array(np.repeat(b.column("id").to_numpy(), [len(x) for x in own]))], names=["sh", "id"])
+
+    rows = store(involved.join(sets.select("id", "n", "s"), "id").dropDuplicates(["id"]), "involved")
+    tokens = store(rows.select("id", "s").mapInArrow(run, "sh long, id long"), "tokens")
+    common = tokens.groupBy("sh").agg(F.count("*").alias("c")).where("c > 1")
+    # shingles of one set only come first in the order and find nothing: they are only counted
+    shared = tokens.join(common, "sh").join(rows.select("id", "comp", "n"), "id")
+    own = Window.partitionBy("id")
+    shared = shared.withColumn("k", F.count("*").over(own)).withColumn("place", F.row_number().over(own.orderBy("c", "sh")))
+    first = shared.where(f"place <= k - (n * {num} + {den - 1}) div {den} + 1").select("sh", "id", "comp", "n")
+    first = store(first, "first")
+    parts = first.groupBy("sh", "comp").agg(F.count("*").alias("c"))
+    tops = parts.groupBy("sh").agg(F.count("*").alias("comps"), F.max(F.struct("c", "comp"))["comp"].alias("top")).where("comps > 1")
+    rest = store(first.join(tops, "sh").where("comp <> top").selectExpr("sh", "id as a", "comp as acomp", "n as an"), "rest")
+    fits = F.least("an", "bn") * den >= F.greatest("an", "bn") * num
+    found = rest.join(first.selectExpr("sh", "id as b", "comp as bcomp", "n as bn"), "sh").where((F.col("acomp") != F.col("bcomp")) & fits)
+    return found.selectExpr("greatest(a, b) as a", "least(a, b) as b")
+
+
 def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, k: int = K) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for each row of ``docs(doc_id, text, ...)``.
 
@@ -243,17 +276,12 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, k: int = K)
         apart = store(apart.selectExpr("key", "top.comp as top", "top.other.id as other", "top.other.n as other_n"), "apart")
         if apart.isEmpty():
             break
-        rest = store(here.join(apart, "key").where("comp <> top"), "rest")
         if last:
-            marks = sets.select("id", *PARITY).dropDuplicates(["id"])
-            some = here.join(apart.select("key"), "key", "left_semi")
-            right = store(some.join(marks, "id"), "right").selectExpr("key", "id as b", "n as bn", "comp as bcomp", *(f"{m} as b{m}" for m in PARITY))
-            left = store(rest.select("key", "id", "n", "comp").join(marks, "id"), "left")
-            rows = left.select("key", "comp", F.col("id").alias("a"), F.col("n").alias("an"), *(F.col(m).alias(f"a{m}") for m in PARITY)).join(right, "key")
-            found = rows.where((F.col("comp") != F.col("bcomp")) & _close(num, den, "a", "b")).selectExpr("greatest(a, b) as a", "least(a, b) as b")
-            found = store(found.distinct(), "found")
+            involved = here.join(apart, "key", "left_semi").select("id", "comp").distinct()
+            found = _possible(_rare_pairs(involved, sets, num, den, store), sets, num, den)
         else:
-            found = _possible(rest.where(fits(F.col("n"), F.col("other_n"))).selectExpr("id as a", "other as b"), sets, num, den)
+            rest = here.join(apart, "key").where("comp <> top").where(fits(F.col("n"), F.col("other_n")))
+            found = _possible(rest.selectExpr("id as a", "other as b"), sets, num, den)
         fresh = store(_confirm(found, sets, num, den), "links")
         if fresh.isEmpty():
             continue

@@ -92,6 +92,20 @@ def test_groups_that_share_much_and_are_apart(spark):
     assert found(neardup.near_duplicates(df, 85, 100)) == brute(docs, 85)
 
 
+def test_rare_pairs_lose_no_link(spark):
+    """The exact join for what buckets leave apart, on its own, against all pairs."""
+    docs = made(5)
+    sets = {d: np.unique([hash(x) & ((1 << 62) - 1) for x in shingles(t)]) for d, t in docs}
+    sets = {d: s for d, s in sets.items() if len(s)}
+    table = spark.createDataFrame([(d, len(s), s.astype(np.uint64).tobytes()) for d, s in sets.items()], "id long, n long, s binary")
+    for comps in ({d: d for d in sets}, {d: d % 7 for d in sets}):
+        involved = spark.createDataFrame(list(comps.items()), "id long, comp long")
+        got = {(r.a, r.b) for r in neardup._rare_pairs(involved, table, 80, 100, lambda df, tag: df).collect()}
+        both = lambda a, b: len(np.intersect1d(sets[a], sets[b]))
+        want = {(a, b) for a in sets for b in sets if a > b and comps[a] != comps[b] and 100 * both(a, b) >= 80 * (len(sets[a]) + len(sets[b]) - both(a, b))}
+        assert want <= got and all(comps[a] != comps[b] for a, b in got) and want
+
+
 def test_repeated_and_null_ids_and_empty_table(spark):
     text = " ".join(f"w{i}" for i in range(30))
     df = spark.createDataFrame([(2, text), (2, text), (1, text), (None, text), (None, None), (3, None)], "doc_id long, text string")
