@@ -207,7 +207,8 @@ def _rare_pairs(involved: DataFrame, sets: DataFrame, num: int, den: int, store:
 
     A set of n shingles shares at least ceil(n * num / den) of them with one that is similar
     enough. Hence if each set's shingles are taken in one order for all, rarest first, its
-    first n - ceil(n * num / den) + 1 hold a shared one (a prefix filter). A passage that
+    first n - ceil(n * num / den) + 1 hold a shared one (a prefix filter), and the places of
+    the first shared one leave room for enough others (a positional filter). A passage that
     very many texts hold is in no prefix of those that have enough else, so no pairs are made
     of it, whatever bucket the texts meet in.
     """
@@ -217,21 +218,24 @@ def _rare_pairs(involved: DataFrame, sets: DataFrame, num: int, den: int, store:
             own = [np.frombuffer(s.as_buffer(), np.int64) for s in b.column("s")]
             yield pa.record_batch([pa.array(np.concatenate(own)), pa.array(np.repeat(b.column("id").to_numpy(), [len(x) for x in own]))], names=["sh", "id"])
 
-    rows = store(involved.join(sets.select("id", "n", "s"), "id").dropDuplicates(["id"]), "involved")
+    rows = store(involved.join(sets.select("id", "n", "s", *PARITY), "id").dropDuplicates(["id"]), "involved")
     tokens = store(rows.select("id", "s").mapInArrow(run, "sh long, id long"), "tokens")
     common = tokens.groupBy("sh").agg(F.count("*").alias("c")).where("c > 1")
     # shingles of one set only come first in the order and find nothing: they are only counted
-    shared = tokens.join(common, "sh").join(rows.select("id", "comp", "n"), "id")
+    shared = tokens.join(common, "sh").join(rows.select("id", "n"), "id")
     own = Window.partitionBy("id")
-    shared = shared.withColumn("k", F.count("*").over(own)).withColumn("place", F.row_number().over(own.orderBy("c", "sh")))
-    first = shared.where(f"place <= k - (n * {num} + {den - 1}) div {den} + 1").select("sh", "id", "comp", "n")
-    first = store(first, "first")
+    shared = shared.withColumn("place", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("c", "sh")))
+    first = shared.where(f"place <= n - (n * {num} + {den - 1}) div {den} + 1").select("sh", "id", "place")
+    first = store(store(first, "first").join(rows.drop("s"), "id"), "first")
     parts = first.groupBy("sh", "comp").agg(F.count("*").alias("c"))
     tops = parts.groupBy("sh").agg(F.count("*").alias("comps"), F.max(F.struct("c", "comp"))["comp"].alias("top")).where("comps > 1")
-    rest = store(first.join(tops, "sh").where("comp <> top").selectExpr("sh", "id as a", "comp as acomp", "n as an"), "rest")
-    fits = F.least("an", "bn") * den >= F.greatest("an", "bn") * num
-    found = rest.join(first.selectExpr("sh", "id as b", "comp as bcomp", "n as bn"), "sh").where((F.col("acomp") != F.col("bcomp")) & fits)
-    return found.selectExpr("greatest(a, b) as a", "least(a, b) as b")
+    rest = store(first.join(tops, "sh").where("comp <> top").drop("comps", "top"), "rest")
+    left, right = (df.select("sh", *(F.col(x).alias(c + x) for x in df.columns if x != "sh")) for c, df in (("a", rest), ("b", first)))
+    # of the first shingle that two sets share, what follows in both bounds all they share
+    follow = F.least(F.col("an") - F.col("aplace"), F.col("bn") - F.col("bplace")) + 1
+    near = (follow * (num + den) >= (F.col("an") + F.col("bn")) * num) & _close(num, den, "a", "b")
+    found = left.join(right, "sh").where((F.col("acomp") != F.col("bcomp")) & near)
+    return found.selectExpr("greatest(aid, bid) as a", "least(aid, bid) as b")
 
 
 def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, k: int = K) -> DataFrame:
@@ -278,7 +282,7 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, k: int = K)
             break
         if last:
             involved = here.join(apart, "key", "left_semi").select("id", "comp").distinct()
-            found = _possible(_rare_pairs(involved, sets, num, den, store), sets, num, den)
+            found = store(_rare_pairs(involved, sets, num, den, store).distinct(), "rare")
         else:
             rest = here.join(apart, "key").where("comp <> top").where(fits(F.col("n"), F.col("other_n")))
             found = _possible(rest.selectExpr("id as a", "other as b"), sets, num, den)

@@ -97,7 +97,8 @@ def test_rare_pairs_lose_no_link(spark):
     docs = made(5)
     sets = {d: np.unique([hash(x) & ((1 << 62) - 1) for x in shingles(t)]) for d, t in docs}
     sets = {d: s for d, s in sets.items() if len(s)}
-    table = spark.createDataFrame([(d, len(s), s.astype(np.uint64).tobytes()) for d, s in sets.items()], "id long, n long, s binary")
+    rows = [(d, len(s), s.astype(np.uint64).tobytes(), *neardup.parity(s.astype(np.uint64)).view(np.int64).tolist()) for d, s in sets.items()]
+    table = spark.createDataFrame(rows, "id long, n long, s binary, " + ", ".join(f"{m} long" for m in neardup.PARITY))
     for comps in ({d: d for d in sets}, {d: d % 7 for d in sets}):
         involved = spark.createDataFrame(list(comps.items()), "id long, comp long")
         got = {(r.a, r.b) for r in neardup._rare_pairs(involved, table, 80, 100, lambda df, tag: df).collect()}
