@@ -1,7 +1,8 @@
 """A training-data pipeline over ``documents``: quality, near-duplicates, benchmark, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes what a stage
-returns to the shared folder and reads it again as the next one's docs.
+returns to the shared folder and reads it again as the next one's docs; what a stage before
+returned is then removed.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontam, neardup, packing, quality
-from lodestone.llm.common import materialize, read_table
+from lodestone.llm.common import discard, materialize, read_table
 from lodestone.llm.queries import tokenizer_path
 
 
@@ -44,7 +45,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Hashed models, SimHash windows and a BPE tokenizer are beyond SQL; tests hold the stages
+#: Hashed models, 64-bit signatures and a BPE tokenizer are beyond SQL; tests hold the stages
 #: against brute force.
 ORACLE_SQL = None
 
@@ -52,5 +53,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        kept = materialize(stage(spark, docs, sf_dir), name)
+        discard(docs)
+        docs = kept
     return docs
