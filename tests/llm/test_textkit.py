@@ -52,3 +52,16 @@ def test_slices_of_arrow_columns():
     for part in (column.slice(1, 2), column.cast(pa.large_string()).slice(2)):
         data, offsets = tk.utf8(part)
         assert data.tobytes().decode() == "".join(x or "" for x in part.to_pylist()) and len(offsets) == len(part) + 1
+
+
+def test_batches_are_bounded_and_smaller_ones_stay(spark):
+    from lodestone.llm.common import BATCH_BYTES, bound_batches
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    try:
+        for value, want in (("64m", f"{BATCH_BYTES}b"), ("1m", "1m"), (None, f"{BATCH_BYTES}b")):
+            spark.conf.set(key, value) if value else spark.conf.unset(key)
+            bound_batches(spark)
+            assert spark.conf.get(key) == want
+    finally:
+        spark.conf.unset(key)
