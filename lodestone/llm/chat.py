@@ -29,8 +29,9 @@ ROLES = ("system", "user", "assistant", "other")
 START, SYSTEM, USER, ASSISTANT = range(4)
 RELABEL, MERGE, MERGE_OTHER, INSERT = 2, 1, 3, 4
 INF = 1 << 40
-#: Turns of a partition, at most, where the session's shuffle partitions would hold more.
-TURNS = 500_000
+#: Turns and bytes of text of a partition where the session's shuffle partitions would hold
+#: more: a task keeps the turns of a conversation until it has seen the last of its own.
+TURNS, BYTES = 500_000, 64 << 20
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 _OUT = "conv_id long, turn long, role string, new_role string, action string, inserted string, cost long, rendered string"
 
@@ -98,20 +99,19 @@ def repair(roles: list[str | None]) -> list[tuple[int, int, str, tuple[str, ...]
     return walk(role_codes(roles), FINISH, START)
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, list[int | None], list[str | None], list[str | None]]]:
-    """Conversations of a sorted partition, one at a time."""
+def _runs(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple[int | None, list]]:
+    """Conversations of a sorted partition, one at a time: the id and a list per column."""
     now, held = None, None
     for b in batches:
-        for conv, turn, role, text in zip(*(b.column(c).to_pylist() for c in ("conv_id", "turn", "role", "text")), strict=True):
+        for conv, *values in zip(*(b.column(c).to_pylist() for c in ("conv_id", *columns)), strict=True):
             if held is None or conv != now:
                 if held is not None:
-                    yield now, *held
-                now, held = conv, ([], [], [])
-            held[0].append(turn)
-            held[1].append(role)
-            held[2].append(text)
+                    yield now, held
+                now, held = conv, [[] for _ in columns]
+            for own, value in zip(held, values, strict=True):
+                own.append(value)
     if held is not None:
-        yield now, *held
+        yield now, held
 
 
 def _fragments(conv, turns, roles, texts, chosen, state: int, last: bool) -> Iterator[tuple]:
@@ -136,7 +136,8 @@ def format_chats(turns: DataFrame, partitions: int | None = None) -> DataFrame:
     empty turn; of equally cheap repairs the first in a fixed order of options is taken.
     ``rendered`` of a conversation's turns, in order, is the repaired conversation; a merged
     turn is the continuation of the one before. The costs of what is appended at the end go
-    to the last turn. Turns are ordered by turn, role and text; a null turn comes first; a
+    to the last turn. Turns are ordered by turn, role and the MD5 of the text, whose length
+    does not matter to the sort or to the sample that cuts its ranges; nulls come first; a
     role other than system, user or assistant (or null) has to be relabelled or merged; a
     null text is empty; rows with a null conv_id are one conversation. Texts cannot forge
     turn marks. Further columns are ignored; an empty table gives an empty result.
@@ -146,14 +147,17 @@ def format_chats(turns: DataFrame, partitions: int | None = None) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_dir(spark))
     cols = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    order = ["conv_id", "turn", "role", "text"]
-    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-cols.count() // TURNS))
-    cols = cols.withColumn("tie", F.monotonically_increasing_id())  # equal rows may lie on both sides of a cut
-    cols = cols.repartitionByRange(n, *order, "tie").sortWithinPartitions(*order, "tie").drop("tie").checkpoint()
+    order = ["conv_id", "turn", "role", "md5", "tie"]
+    count, size = cols.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // TURNS), -(-size // BYTES))
+    # equal rows may lie on both sides of a cut, hence the tie
+    cols = cols.withColumn("md5", F.md5(F.col("text").cast("binary"))).withColumn("tie", F.monotonically_increasing_id())
+    cols = cols.repartitionByRange(n, *order).sortWithinPartitions(*order).drop("md5", "tie").checkpoint()
+    roles_only = cols.select("conv_id", "role")
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, first, final = TaskContext.get().partitionId(), None, None
-        for conv, _, roles, _ in _runs(batches):
+        for conv, (roles,) in _runs(batches, "role"):
             final = (conv, roles)
             first = first or final
         rows = [] if first is None else [first] if first is final else [first, final]
@@ -161,7 +165,7 @@ def format_chats(turns: DataFrame, partitions: int | None = None) -> DataFrame:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
         yield pa.record_batch([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], names=["part", "k", "runs", "conv_id", "m"])
 
-    ends = sorted(cols.mapInArrow(report, "part long, k long, runs long, conv_id long, m binary").collect(), key=lambda r: (r.part, r.k))
+    ends = sorted(roles_only.mapInArrow(report, "part long, k long, runs long, conv_id long, m binary").collect(), key=lambda r: (r.part, r.k))
     groups: list[list] = []
     for r in ends:
         if groups and groups[-1][-1].part < r.part and groups[-1][-1].conv_id == r.conv_id:
@@ -182,13 +186,13 @@ def format_chats(turns: DataFrame, partitions: int | None = None) -> DataFrame:
 
         def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part, rows = TaskContext.get().partitionId(), []
-            for conv, _, roles, _ in _runs(batches):
+            for conv, (roles,) in _runs(batches, "role"):
                 if (part, conv) in more:
                     codes = role_codes(roles)
                     rows.append((part, conv, [walk(codes, ahead[part, conv], s)[-1][1] for s in range(4)]))
             yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], names=["part", "conv_id", "exits"])
 
-        exits = {(r.part, r.conv_id): r.exits for r in cols.mapInArrow(lead, "part long, conv_id long, exits array<long>").collect()}
+        exits = {(r.part, r.conv_id): r.exits for r in roles_only.mapInArrow(lead, "part long, conv_id long, exits array<long>").collect()}
         for group in groups:
             state = START
             for r in group:
@@ -201,7 +205,7 @@ def format_chats(turns: DataFrame, partitions: int | None = None) -> DataFrame:
         names = [f.split()[0] for f in _OUT.split(", ")]
         kinds = [pa.string() if "string" in f else pa.int64() for f in _OUT.split(", ")]
         batch = lambda: pa.record_batch([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 8, kinds, strict=True)], names=names)
-        for conv, turn, roles, texts in _runs(batches):
+        for conv, (turn, roles, texts) in _runs(batches, "turn", "role", "text"):
             at = (part, conv)
             state = begins.get(at, START)
             chosen = walk(role_codes(roles), ahead.get(at, FINISH), state)

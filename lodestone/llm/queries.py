@@ -181,7 +181,7 @@ with recursive o as (select * from (values {options}) v(code, state, ord, cost,
 z as (select * from (values {finish}) v(state, cost, ending)),
 t as (
   select dense_rank() over (order by conv_id) as cid, conv_id, turn, role, replace(coalesce(text, ''), '<|im_', '< |im_') as body,
-    row_number() over (partition by conv_id order by turn nulls first, role nulls first, text nulls first) as i, count(*) over (partition by conv_id) as n,
+    row_number() over (partition by conv_id order by turn nulls first, role nulls first, md5(text) nulls first) as i, count(*) over (partition by conv_id) as n,
     case lower(trim(coalesce(role, ''))) when 'system' then 0 when 'user' then 1 when 'assistant' then 2 else 3 end as code
   from conversations
 ), g(cid, i, state, v) as (

@@ -1,5 +1,6 @@
 """op4: the cheapest repair against all repairs, and cuts at any place."""
 
+import hashlib
 import itertools
 
 import pytest
@@ -75,6 +76,16 @@ def test_conversations_may_be_cut_anywhere(spark, partitions):
         check(own, [(r[2], r[3]) for r in rows if r[0] == conv])
 
 
+def test_one_long_conversation_is_cut_by_its_bytes(spark, monkeypatch):
+    monkeypatch.setattr(chat, "BYTES", 20_000)
+    rows = [(7, t, ROLES[(t * 5 + t // 4) % 5], f"{t} " * 400) for t in range(90)]
+    rows += [(7, 200, "user", x) for x in ("b", "a", None, "", "a", "long " * 900)]  # ties in all but the text
+    got = chat.format_chats(spark.createDataFrame([(*r, "c", 1) for r in rows], KIND).repartition(5))
+    assert got.rdd.getNumPartitions() > 4
+    digest = lambda x: "" if x is None else hashlib.md5(x.encode()).hexdigest()  # noqa: E731, S324
+    check(got.collect(), [(r[2], r[3]) for r in sorted(rows, key=lambda r: (r[1], digest(r[3])))])
+
+
 def test_nulls_and_empty_table(spark):
     df = spark.createDataFrame([(None, None, None, None, None, None), (None, 1, "user", "x", None, None)], KIND)
     rows = chat.format_chats(df).collect()
