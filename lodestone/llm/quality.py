@@ -86,14 +86,9 @@ def _sample(labels: DataFrame) -> DataFrame:
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Count both models over all of ``docs`` and place the threshold by the labelled sample:
-    where fewest good documents fall below (each counts five) and fewest bad ones above.
-
-    Without good or without bad labelled documents the threshold is -inf."""
-    sample = F.broadcast(materialize(_sample(labels), "sample"))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marked = docs.join(sample, "doc_id", "left")
+def weigh(docs: DataFrame, sample: DataFrame) -> Model:
+    """Count both models over all of ``docs(doc_id, text)``; the threshold is still -inf."""
+    marked = docs.join(F.broadcast(sample), "doc_id", "left")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, good = np.zeros(BUCKETS + 2, np.int64), np.zeros(BUCKETS + 2, np.int64)
@@ -117,21 +112,25 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     for part in (slice(0, BUCKETS), slice(BUCKETS, BUCKETS + 2)):
         expected = raw[part] * (good[part].sum() / max(raw[part].sum(), 1))
         weights[part] = np.log((good[part] + SMOOTH) / (expected + SMOOTH))
-    model = Model(np.rint(weights * FIXED).astype(np.int64), -math.inf)
-    seen = marked.where("quality is not null").select("doc_id", "text", "quality")
-    seen = _scored(seen, model, "quality").groupBy("doc_id").agg(F.min("weight").alias("w"), F.min("quality").alias("q"))
+    return Model(np.rint(weights * FIXED).astype(np.int64), -math.inf)
+
+
+def threshold(scores: DataFrame, sample: DataFrame) -> float:
+    """Where fewest good documents of the sample fall below (each counts five) and fewest bad
+    ones above; -inf without good or without bad ones. The texts are not read again."""
+    seen = scores.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("weight").alias("w"), F.min("quality").alias("q"))
     rows = seen.select("w", "q").collect()  # at most SAMPLE rows
     w, q = np.array([r.w for r in rows]), np.array([r.q for r in rows])
-    if (q == 1).any() and (q != 1).any():
-        order = np.argsort(w, kind="stable")
-        w, q = w[order], q[order]
-        lost = np.concatenate([[0], np.cumsum(q == 1)]) * 5.0
-        kept = (q != 1).sum() - np.concatenate([[0], np.cumsum(q != 1)])
-        cost = lost + kept
-        cost[1:-1][w[1:] == w[:-1]] = math.inf
-        cut = int(np.argmin(cost))
-        model.threshold = -math.inf if cut == 0 else math.inf if cut == len(w) else float((w[cut - 1] + w[cut]) / 2)
-    return model
+    if not (q == 1).any() or not (q != 1).any():
+        return -math.inf
+    order = np.argsort(w, kind="stable")
+    w, q = w[order], q[order]
+    lost = np.concatenate([[0], np.cumsum(q == 1)]) * 5.0
+    kept = (q != 1).sum() - np.concatenate([[0], np.cumsum(q != 1)])
+    cost = lost + kept
+    cost[1:-1][w[1:] == w[:-1]] = math.inf
+    cut = int(np.argmin(cost))
+    return -math.inf if cut == 0 else math.inf if cut == len(w) else float((w[cut - 1] + w[cut]) / 2)
 
 
 def _key(doc: list, weight: np.ndarray) -> np.ndarray:
@@ -141,18 +140,16 @@ def _key(doc: list, weight: np.ndarray) -> np.ndarray:
     return weight / TEMPERATURE - np.log(-np.log(u))
 
 
-def _scored(docs: DataFrame, model: Model, *carry: str) -> DataFrame:
+def _scored(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kinds = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             w = shared.value.score(b.column("text"))
             g = _key(b.column("doc_id").to_pylist(), w)
-            yield pa.record_batch([b.column("doc_id"), *(b.column(c) for c in carry), pa.array(w), pa.array(g)], names=["doc_id", *carry, "weight", "gumbel_key"])
+            yield pa.record_batch([b.column("doc_id"), pa.array(w), pa.array(g)], names=["doc_id", "weight", "gumbel_key"])
 
-    more = "".join(f"{c} {kinds[c]}, " for c in carry)
-    return docs.select("doc_id", "text", *carry).mapInArrow(run, f"doc_id long, {more}weight double, gumbel_key double")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, weight double, gumbel_key double")
 
 
 def kth_largest(df: DataFrame, column: str, k: int) -> float:
@@ -183,8 +180,10 @@ def kth_largest(df: DataFrame, column: str, k: int) -> float:
 def importance_scores(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Model, float]:
     """Scores of all rows, the model, and the Gumbel key of the last row that stays."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    model = fit(docs, labels)
+    sample = materialize(_sample(labels), "sample")
+    model = weigh(docs, sample)
     scores = materialize(_scored(docs, model), "scores")
+    model.threshold = threshold(scores, sample)
     k = scores.where(F.col("weight") >= model.threshold).count()
     return scores, model, kth_largest(scores, "gumbel_key", k)
 
