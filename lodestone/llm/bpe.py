@@ -19,7 +19,7 @@ from .textkit import _pow, mix, utf8
 
 L, N, S, O = 1, 2, 3, 4  # noqa: E741
 #: Distinct pre-tokens held by a process; beyond, the table starts anew.
-CACHE = 1_500_000
+CACHE = 250_000
 CHARS = 1 << 19
 _SUFFIXES = ("s", "t", "re", "ve", "m", "ll", "d")
 _loaded: dict[str, FastBpe] = {}
@@ -61,10 +61,12 @@ class FastBpe:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True
+        self.split = tokenizer.pre_tokenizer.pre_tokenize_str
         self.classes = np.zeros(0x110000, np.uint8)
         self.single = _ranked(path)
+        self.tokenizer = None if self.single else tokenizer  # workers live on: one copy of the vocabulary
         self._forget()
 
     def _forget(self) -> None:
@@ -73,7 +75,7 @@ class FastBpe:
         self.starts, self.lens, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def _classify(self, code: int) -> int:
-        c, split = chr(code), self.tokenizer.pre_tokenizer.pre_tokenize_str
+        c, split = chr(code), self.split
         one = lambda a: len(split(a + c)) == 1
         return L if one("a") else N if one("1") else O if one("!") else S
 
