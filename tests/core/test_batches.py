@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import lodestone.queries as core
-from lodestone.operators import evidence, expand, rank, walk
+from lodestone.operators import evidence, expand, prior, rank, walk
 from tests.conftest import DATA
 
 EDGES = "src string, dst string, edge_type string"
@@ -34,11 +34,11 @@ def test_scores_of_many_questions(spark):
     got = {(r.qid, r.id): r.s_sem for r in rank.semantic_scores(props, queries, texts).collect()}
     share = lambda q, i: 0.0 if q == 300 or i == "b" else 1.0 if q % 2 else round((2 if i == "a" else 1) / 3, 6)
     assert got == {(q, i): share(q, i) for q in range(301) for i in "abc"}
-    prior = spark.createDataFrame([(i, 0.25) for i in "abz"], "id string, s_struct double")
-    one = rank.scored_propositions(props, queries, texts, prior)
-    two = rank.proposition_scores(props, rank.semantic_scores(props, queries, texts), prior)
+    known = spark.createDataFrame([(i, 0.25) for i in "abz"], "id string, s_struct double")
+    one = rank.scored_propositions(props, queries, texts, known)
+    two = rank.proposition_scores(props, rank.semantic_scores(props, queries, texts), known)
     assert sorted(map(repr, one.select(*two.columns).collect())) == sorted(map(repr, two.collect())) and one.count() == 302 * 3
-    looked = {(r.qid, r.id) for r in rank.struct_scores(props, prior).collect()}
+    looked = {(r.qid, r.id) for r in rank.struct_scores(props, known).collect()}
     assert looked == {(q, i) for q in range(302) for i in "abz"}
 
 
@@ -58,11 +58,11 @@ def test_grown_equals_the_decay_of_the_lineage(spark):
     edges = spark.createDataFrame(rows + [(e, p, "INVOLVED_IN") for p, e, _ in rows], EDGES)
     anchored = spark.createDataFrame([(1, "p0", 0.9), (1, "p1", 0.8), (2, "p3", 0.7)], "qid long, id string, final double")
     kept = spark.createDataFrame([(1, "e0"), (1, "e1"), (2, "e0")], "qid long, id string")
-    prior = spark.createDataFrame([("p4", 0.5)], "id string, s_struct double")
+    known = spark.createDataFrame([("p4", 0.5)], "id string, s_struct double")
     scored = spark.createDataFrame([(1, "p6", 0.6)], "qid long, id string, final double")
     more = expand.without_anchors(expand.expanded(expand.candidates(anchored, edges), kept, edges), anchored)
-    want = {tuple(r) for r in expand.decayed(more, anchored, prior, scored).collect()}
-    assert {tuple(r) for r in expand.grown(anchored, kept, edges, prior, scored).collect()} == want and len(want) == 6
+    want = {tuple(r) for r in expand.decayed(more, anchored, known, scored).collect()}
+    assert {tuple(r) for r in expand.grown(anchored, kept, edges, known, scored).collect()} == want and len(want) == 6
 
 
 def test_a_query_builds_only_what_it_reads(spark):
@@ -70,3 +70,17 @@ def test_a_query_builds_only_what_it_reads(spark):
     core.queries()["hop_e_to_p"](spark, DATA).select(F.count("*")).collect()
     assert {name for (_, _, name) in core._built} == {"tables", "graph", "sparse", "path"}
     assert set(core._path(spark, DATA)) == {"seeds", "first", "ents"}
+
+
+def test_the_skeleton_needs_neither_types_nor_nodes(spark):
+    core._built.clear()
+    assert core.queries()["ep_skeleton"](spark, DATA).count() > 0
+    assert {name for (_, _, name) in core._built} == {"tables"}
+    assert "typed" not in core._tables(spark, DATA).__dict__
+
+
+def test_rounds_of_core_numbers_broadcast_no_values(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("c", "b")], "u string, v string")
+    fresh = prior._fresh_values(edges, prior.degrees(edges).withColumnRenamed("degree", "core"))
+    assert {(r.id, r.old, r.core) for r in fresh.collect()} == {("a", 1, 1), ("b", 2, 1), ("c", 1, 1)}
+    assert "Broadcast" not in fresh._jdf.queryExecution().executedPlan().toString()
