@@ -84,3 +84,19 @@ def test_rounds_of_core_numbers_broadcast_no_values(spark):
     fresh = prior._fresh_values(edges, prior.degrees(edges).withColumnRenamed("degree", "core"))
     assert {(r.id, r.old, r.core) for r in fresh.collect()} == {("a", 1, 1), ("b", 2, 1), ("c", 1, 1)}
     assert "Broadcast" not in fresh._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("cells", [evidence.CELLS, 40])
+def test_leading_chunks_are_those_of_all_scores(spark, monkeypatch, cells):
+    """Three chunks per proposition as from all chunk scores, but without a row per question and chunk."""
+    monkeypatch.setattr(evidence, "CELLS", cells)  # 40: several blocks of questions
+    edges = [(f"p{p}", f"c{c:04d}", "SUPPORTED_BY") for c in range(3000) for p in range(12) if (c * 7 + p * p) % (p + 2) == 0]
+    edges = spark.createDataFrame(edges, EDGES)
+    final = lambda q, p: round(((q * 5 + p * 3) % 7) / 10, 9)  # many ties
+    scores = [(q, f"p{p}", final(q, p)) for q in range(9) for p in range(12) if (q + p) % 5]
+    scores = spark.createDataFrame([*scores, *scores[:20]], "qid long, id string, final double")
+    props = spark.createDataFrame([(q, f"p{p}", final(q, p)) for q in range(9) for p in range(q, q + 4) if p < 12], "qid long, id string, final double")
+    want = evidence.chunks_per_proposition(evidence.chunk_scores(props, scores, edges))
+    led = evidence.leading_chunks(props, scores, edges)
+    assert sorted(evidence.chunks_per_proposition(led).select(*want.columns).collect()) == sorted(want.collect())
+    assert led.count() <= props.count() * 3 * led.rdd.getNumPartitions() < evidence.chunk_scores(props, scores, edges).count()
