@@ -100,3 +100,14 @@ def test_leading_chunks_are_those_of_all_scores(spark, monkeypatch, cells):
     led = evidence.leading_chunks(props, scores, edges)
     assert sorted(evidence.chunks_per_proposition(led).select(*want.columns).collect()) == sorted(want.collect())
     assert led.count() <= props.count() * 3 * led.rdd.getNumPartitions() < evidence.chunk_scores(props, scores, edges).count()
+
+
+def test_only_cited_texts_are_moved_to_the_buckets(spark):
+    nodes = [("p", "proposition", "P"), ("c", "chunk", "C"), ("e", "entity", "E"), ("type::X", "type", "X"), ("e", "type", "no entity")]
+    nodes = spark.createDataFrame([*nodes, *((f"x{i}", "chunk", "never cited") for i in range(500))], "id string, node_type string, text string")
+    edges = spark.createDataFrame([("p", "e", "ASSERTS"), ("e", "type::X", "IS_A")], EDGES)
+    props = spark.createDataFrame([(1, "p", 0.5)], "qid long, id string, final double")
+    kept = spark.createDataFrame([(1, "p", "c", 0.5, 0.5), (1, "p", "gone", 0.5, 0.5)], "qid long, prop string, chunk string, p_final double, c_score double")
+    found = evidence.buckets(props, kept, edges, nodes)
+    assert {(r.node_type, r.id, r.text, r.score) for r in found.collect()} == {("proposition", "p", "P", 0.5), ("chunk", "c", "C", 0.5), ("entity", "e", "E", 0.5), ("type", "type::X", "X", 0.5)}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") == 2
